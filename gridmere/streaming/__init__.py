@@ -1,0 +1 @@
+"""Intentionally empty: every operator of this library works on batch tables."""
