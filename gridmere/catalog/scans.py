@@ -179,6 +179,9 @@ def two_row_header_grid(spark, sf):
     )
     years = [1996, 1997, 1998]
 
+    def with_commas(text, end):
+        return F.regexp_replace(text, rf"(?<=\d)(?=(\d{{3}})+{end})", ",")
+
     def when(y):
         return F.year("o_orderdate") == y
 
@@ -188,8 +191,8 @@ def two_row_header_grid(spark, sf):
     )
     body = wide.select(
         "k",
-        *[F.when(F.col(f"n{y}") % 5 == 0, "np").otherwise(F.format_number(F.col(f"n{y}"), 0)).alias(f"c{i}") for i, y in enumerate(years)],
-        *[F.format_number(F.col(f"s{y}"), 2).alias(f"c{i + 3}") for i, y in enumerate(years)],
+        *[F.when(F.col(f"n{y}") % 5 == 0, "np").otherwise(with_commas(F.col(f"n{y}").cast("string"), "$")).alias(f"c{i}") for i, y in enumerate(years)],
+        *[with_commas(F.col(f"s{y}").cast("decimal(18,2)").cast("string"), r"\.").alias(f"c{i + 3}") for i, y in enumerate(years)],
     )
     labels = [f"{y}-{(y + 1) % 100:02d}" for y in years]
     header = [(f"c{i}", ["Earners (persons)", None, None, "Sum ($)", None, None][i], labels[i % 3]) for i in range(6)]

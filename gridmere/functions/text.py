@@ -81,5 +81,7 @@ def division(c: Column, names: Mapping[str, str] = fixed.DIVISIONS) -> Column:
 
 def lookup(c: Column, table: Mapping[str, str]) -> Column:
     """A small literal mapping; anything not in it is null."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), c)
+    out = F.lit(None).cast("string")
+    for key, value in reversed(table.items()):
+        out = F.when(c == key, F.lit(value)).otherwise(out)
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridmere import fixed
 from gridmere.functions.dates import to_day
 from gridmere.functions.numbers import number_or_null_zero, to_number
-from gridmere.functions.text import label_flags, matches_code, code_key
+from gridmere.functions.text import code_key, label_flags, matches_code
 from gridmere.operators.tables import not_null
 
 
@@ -139,16 +139,17 @@ def grid_to_long(
         name = next((n for start, n in measures.items() if text.startswith(start)), None)
         if name:
             picked[column] = (name, when)
-    long = body.select(key, *[F.col(c).cast("string") for c in picked]).unpivot(
-        [key], list(picked), "__c", "__v"
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(when).alias(period), F.lit(name).alias("measure"),
+                F.col(c).cast("string").alias("text"),
+            )
+            for c, (name, when) in picked.items()
+        ]
     )
-    named = F.create_map(
-        *[F.lit(x) if isinstance(x, str) else F.struct(F.lit(x[0]).alias("m"), F.lit(x[1]).alias("p"))
-          for kv in picked.items() for x in kv]
-    )
-    return long.select(
-        key, named[F.col("__c")]["p"].alias(period), named[F.col("__c")]["m"].alias("measure"),
-        to_number(F.replace(F.col("__v"), F.lit(","), F.lit(""))).alias("value"),
+    return body.select(key, F.inline(cells)).select(
+        key, period, "measure", to_number(F.replace("text", F.lit(","), F.lit(""))).alias("value")
     )
 
 
