@@ -1 +1,184 @@
+"""
+Models (M1-M15, A19, T3). Fits are over whole tables; ensembles use few trees here so
+that a run stays short, the defaults are in the operators.
+"""
 
+from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
+
+from gridmere.catalog.registry import query, r6, shaped, table
+from gridmere.operators import models as M
+from gridmere.operators.tables import top, union_all
+
+_ITEMS = """SELECT l_orderkey * 8 + l_linenumber AS row_id, l_suppkey AS area, l_extendedprice AS price,
+  CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_quantity END AS quantity, l_discount AS discount, l_tax AS tax,
+  CAST(p_size AS DOUBLE) AS size, p_retailprice AS retail, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE p_type END AS kind, p_brand AS brand
+  FROM lineitem JOIN part ON l_partkey = p_partkey"""
+NUMBERS = ["quantity", "discount", "tax", "size", "retail"]
+
+
+def items(spark, sf):
+    return shaped(spark, sf, _ITEMS)
+
+
+@query(
+    "median_imputation",
+    f"""SELECT row_id, price, coalesce(quantity, (SELECT quantile_disc(quantity, 0.5) FROM ({_ITEMS}) u)) AS quantity FROM ({_ITEMS}) t""",
+)
+def median_imputation(spark, sf):
+    return M.fill_medians(items(spark, sf), ["quantity"], error=0.0).select("row_id", "price", "quantity")
+
+
+@query(
+    "most_frequent_imputation",
+    f"""WITH t AS ({_ITEMS}), m AS (SELECT kind FROM t WHERE kind IS NOT NULL GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1)
+  SELECT row_id, price, coalesce(kind, (SELECT kind FROM m)) AS kind FROM t""",
+)
+def most_frequent_imputation(spark, sf):
+    return M.fill_most_frequent(items(spark, sf), ["kind"]).select("row_id", "price", "kind")
+
+
+@query("one_hot_encoding")
+def one_hot_encoding(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    df = M.fill_most_frequent(items(spark, sf), ["kind"])
+    made = Pipeline(stages=M.preparation([], ["kind"])).fit(df).transform(df)
+    return made.select("row_id", "kind", vector_to_array("features").alias("flags"))
+
+
+@query(
+    "standardisation",
+    """SELECT l_orderkey, l_linenumber, round((l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_pop(l_quantity) FROM lineitem), 6) AS l_quantity,
+  round((l_tax - (SELECT avg(l_tax) FROM lineitem)) / (SELECT stddev_pop(l_tax) FROM lineitem), 6) AS l_tax FROM lineitem""",
+)
+def standardisation(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    return M.standardise(df, ["l_quantity", "l_tax"]).select(
+        "l_orderkey", "l_linenumber", r6("l_quantity", "l_quantity"), r6("l_tax", "l_tax")
+    )
+
+
+@query(
+    "linear_model",
+    """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem""",
+)
+def linear_model(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_extendedprice", "l_quantity")
+    model = Pipeline(stages=[*M.preparation(["l_quantity"], scale=False), M.linear("l_extendedprice")]).fit(df)
+    fit = model.stages[-1]
+    return spark.createDataFrame(
+        [(round(float(fit.coefficients[0]), 4), round(float(fit.intercept), 2))], "slope double, intercept double"
+    )
+
+
+def _scored(spark, sf, regressor, scale=False, categorical=("kind",)):
+    train, test = M.train_test(items(spark, sf), "area")
+    model = Pipeline(stages=[*M.preparation(NUMBERS, list(categorical), scale), regressor]).fit(train)
+    return M.metrics(model.transform(test), "price"), model, test
+
+
+@query("forest_model")
+def forest_model(spark, sf):
+    return _scored(spark, sf, M.forest("price", trees=10, depth=6))[0]
+
+
+@query("boosting_model")
+def boosting_model(spark, sf):
+    return _scored(spark, sf, M.boosting("price", rounds=8, depth=4))[0]
+
+
+@query("randomised_forest_model")
+def randomised_forest_model(spark, sf):
+    return _scored(spark, sf, M.randomised_forest("price", trees=10, depth=6))[0]
+
+
+@query("ridge_model")
+def ridge_model(spark, sf):
+    df = M.with_fold(M.fill_medians(items(spark, sf), NUMBERS), "area")
+    train, test = M.train_test(df, "area")
+    fit = M.ridge_search(train, NUMBERS, "price")
+    scored = M.metrics(M.ridge_predict(test, fit), "price")
+    return scored.select("*", F.lit(fit["alpha"]).alias("alpha"))
+
+
+@query("train_test_split")
+def train_test_split(spark, sf):
+    train, test = M.train_test(items(spark, sf), "row_id")
+    return train.select("row_id", F.lit("train").alias("part")).unionByName(
+        test.select("row_id", F.lit("test").alias("part"))
+    )
+
+
+@query("grouped_split")
+def grouped_split(spark, sf):
+    train, test = M.train_test(items(spark, sf), "area")
+    parts = union_all([train.select("area", F.lit("train").alias("part")), test.select("area", F.lit("test").alias("part"))])
+    return parts.groupBy("area", "part").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _linear_on(columns, categorical=()):
+    return lambda: Pipeline(stages=[*M.preparation(columns, list(categorical)), M.linear("price")])
+
+
+@query("out_of_fold_predictions")
+def out_of_fold_predictions(spark, sf):
+    folded = M.with_fold(items(spark, sf), "row_id")
+    return M.out_of_fold(folded, _linear_on(NUMBERS, ["kind"])).select("row_id", "fold", r6("prediction", "prediction"))
+
+
+@query("stacked_model")
+def stacked_model(spark, sf):
+    train, test = M.train_test(items(spark, sf), "row_id")
+    makers = {
+        "internal": _linear_on(["quantity", "size"], ["kind"]),
+        "external": lambda: Pipeline(stages=[*M.preparation(["retail", "tax", "discount"]), M.forest("price", trees=5, depth=5)]),
+        "combined": lambda: Pipeline(stages=[*M.preparation(NUMBERS, ["kind"], scale=False), M.boosting("price", rounds=4, depth=4)]),
+    }
+    _, scored = M.stack(train, test, "row_id", "price", makers, folds=3)
+    return union_all(
+        [M.metrics(scored, "price", c).select(F.lit(c).alias("model"), "*") for c in [*makers, "stacked"]]
+    )
+
+
+@query("feature_importances")
+def feature_importances(spark, sf):
+    _, model, test = _scored(spark, sf, M.forest("price", trees=10, depth=6))
+    names = M.slots(model.transform(test))
+    table_ = M.importances(spark, names, model.stages[-1].featureImportances.toArray(), {"size": "Part size"})
+    return top(table_, "importance", 10, "feature")
+
+
+@query("feature_set_comparison")
+def feature_set_comparison(spark, sf):
+    from gridmere.plans.compare import compare_feature_sets
+
+    sets = {"Size": ["quantity", "size"], "Price": ["retail", "tax", "discount"], "All": NUMBERS}
+    performance, _ = compare_feature_sets(items(spark, sf), sets, "price", "row_id", trees=5, depth=5)
+    return performance
+
+
+@query(
+    "regression_metrics",
+    """SELECT count(*) AS rows, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - avg(e * e) / var_pop(y), 6) AS r2
+  FROM (SELECT l_extendedprice AS y, l_extendedprice - l_quantity * 1000 AS e FROM lineitem) t""",
+)
+def regression_metrics(spark, sf):
+    df = table(spark, sf, "lineitem").withColumn("p", F.col("l_quantity") * 1000)
+    m = M.metrics(df, "l_extendedprice", "p")
+    return m.select("rows", *[r6(c, c) for c in ("mae", "rmse", "r2")])
+
+
+@query("growth_model")
+def growth_model(spark, sf):
+    from gridmere.plans.growth import fit_growth
+
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    by = o.groupBy(F.col("c_custkey").alias("sal_code_2021")).agg(
+        F.avg("o_totalprice").alias("erp_2025"), F.max("c_acctbal").alias("irsad_score"),
+        F.count(F.lit(1)).cast("double").alias("school_count"),
+        F.avg(F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_totalprice") / 100000)).alias("rent_growth_pct"),
+        F.avg(F.when(F.col("o_orderstatus") == "O", 1.0).otherwise(0.2)).alias("sqm_coverage"),
+    )
+    scored, _, _ = fit_growth(by, features=["erp_2025", "irsad_score", "school_count"], trees=5, depth=5)
+    return scored
