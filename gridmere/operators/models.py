@@ -172,6 +172,7 @@ def out_of_fold(
     prediction: str = "prediction",
 ) -> DataFrame:
     """Each row predicted by the model that was fitted without its fold."""
+    df = df.persist()
     parts = []
     for i in range(folds):
         model = make().fit(df.where(F.col(fold) != i))
@@ -188,7 +189,8 @@ def stack(
     test predictions of the same models refitted on all training rows. Returns it and the
     test rows: key, label, one prediction per model, and `stacked`.
     """
-    folded = with_fold(train, key, folds).persist()
+    folded = with_fold(train, key, folds)
+    folded, test = folded.persist(), test.persist()
     meta, final = folded.select(key, label), test.select(key, label)
     for name, make in makers.items():
         oof = out_of_fold(folded, make, folds)
