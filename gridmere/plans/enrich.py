@@ -35,6 +35,7 @@ from gridmere.operators.tables import (
     dominant_child, join_area_table, join_unique, left_join_all, newest_release, not_null,
     one_point_per_name, pivot_first, resolve_candidates, union_all, with_padded_change,
 )
+from gridmere.session import materialise
 
 AREA, SUBURB = "sa2_code_2021", "sal_code_2021"
 AREA_NAMES = ["sa2_name_2021", "sa3_name_2021", "sa4_name_2021", "gccsa_name_2021", "area_albers_sqkm"]
@@ -355,21 +356,27 @@ def build_master(src: Sources) -> Tables:
         notes.append(Q.match_gate(base, table, AREA, source))
     area_master = left_join_all(base, snapshots.values(), AREA)
 
-    # Once per distinct position.
-    spots = src.listings.where(not_null("lat", "lon")).select("lat", "lon").distinct()
-    spots = with_containing_area(spots, src.areas, AREA, attributes=names)
-    layers = point_layers(src)
+    # Once per distinct position. Positions and point layers are stage tables, since every
+    # search reads them; each search answers for the positions alone.
+    spots = materialise(
+        src.listings.where(not_null("lat", "lon")).select("lat", "lon").distinct(), "positions"
+    )
+    found = [
+        with_containing_area(spots, src.areas, AREA, attributes=names),
+        spots.select("lat", "lon", km_to_point(F.col("lat"), F.col("lon"), fixed.CITY_CENTRE).alias("cbd_km")),
+    ]
+    counts = []
+    layers = {n: materialise(points, n) for n, points in point_layers(src).items()}
     for name, points in layers.items():
-        spots = with_nearest_km(spots, points, f"nearest_{name}_km")
-        area_master = area_master.join(point_counts(points, src.areas, AREA, f"{name}_count"), AREA, "left")
+        found.append(with_nearest_km(spots, points, f"nearest_{name}_km"))
+        counts.append(point_counts(points, src.areas, AREA, f"{name}_count"))
         note(points, f"{name} points", "points")
-    spots = spots.withColumn("cbd_km", km_to_point(F.col("lat"), F.col("lon"), fixed.CITY_CENTRE))
     note(src.routes, "driving routes", "routes")
     if src.routes is not None and "train_station" in layers:
-        spots = with_routes(spots, src.routes, layers["train_station"])
+        found.append(with_routes(spots, src.routes, layers["train_station"]))
     note(src.lots, "land size", "polygons")
     if src.lots is not None:
-        spots = smallest_lot(spots, src.lots, "prop_pfi")
+        found.append(smallest_lot(spots, src.lots, "prop_pfi"))
     note(src.amenities, "amenities", "amenity points")
     if src.amenities is not None:
         kinds = sorted(r[0] for r in src.amenities.select("amenity_type").distinct().collect())
@@ -377,14 +384,14 @@ def build_master(src: Sources) -> Tables:
             F.col("amenity_id").alias("fid"), "amenity_type",
             F.col("amenity_lat").alias("lat"), F.col("amenity_lon").alias("lon"),
         )
-        spots = with_nearest_km_by(spots, points, "amenity_type", kinds)
-        counts = point_counts_by(points, src.areas, AREA, "amenity_type", kinds)
-        area_master = area_master.join(counts, AREA, "left")
+        found.append(with_nearest_km_by(spots, points, "amenity_type", kinds))
+        counts.append(point_counts_by(points, src.areas, AREA, "amenity_type", kinds))
 
-    placed = spots.withColumnsRenamed({"lat": "__la", "lon": "__lo"})
+    area_master = materialise(left_join_all(area_master, counts, AREA), "area_master")
+    placed = left_join_all(spots, found, ["lat", "lon"]).withColumnsRenamed({"lat": "__la", "lon": "__lo"})
     at = (F.col("lat") == F.col("__la")) & (F.col("lon") == F.col("__lo"))
     master = with_suburb_code(src.listings, bridge).join(placed, at, "left").drop("__la", "__lo")
-    master = join_area_table(master, area_master, AREA)
+    master = materialise(join_area_table(master, area_master, AREA), "placed_listings")
 
     note(src.index, "weekly rent index", "postcode weeks")
     if src.index is not None:
