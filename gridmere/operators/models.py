@@ -210,11 +210,20 @@ def stack(
 # --- explanation ------------------------------------------------------------
 
 
-def slots(df: DataFrame, features: str = "features") -> list[str]:
-    """Names of the vector's entries, from the column metadata."""
+def slots(df: DataFrame, features: str = "features", numeric: Sequence[str] = ()) -> list[str]:
+    """
+    Names of the vector's entries, from the column metadata. Scaling drops the names of
+    the numbers, so they are taken from the list given to `preparation`.
+    """
     attrs = df.schema[features].metadata.get("ml_attr", {}).get("attrs", {})
     found = sorted((a["idx"], a.get("name", str(a["idx"]))) for kind in attrs.values() for a in kind)
-    return [n.replace("__filled", "").replace("__hot", "") for _, n in found]
+    scaled = f"{features}__scaled_"
+    out = []
+    for _, name in found:
+        if name.startswith(scaled):
+            name = numeric[int(name.removeprefix(scaled))] if numeric else name
+        out.append(name.removeprefix(f"{features}__num_").replace("__filled", "").replace("__hot", ""))
+    return out
 
 
 def importances(spark, names: Sequence[str], values, labels: Mapping[str, str] | None = None) -> DataFrame:

@@ -47,8 +47,8 @@ def read_stops(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
             _prop("stop_id").alias("stop_id"),
             _prop("stop_name").alias("stop_name"),
             F.trim(F.upper(F.coalesce(_prop("mode"), F.lit("")))).alias("stop_mode"),
-            to_number(xy[1]).alias("stop_lat"),
-            to_number(xy[0]).alias("stop_lon"),
+            to_number(F.get(xy, F.lit(1))).alias("stop_lat"),
+            to_number(F.get(xy, F.lit(0))).alias("stop_lon"),
         )
         .where(not_null("stop_lat", "stop_lon"))
     )

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmere.operators.polygons import edges_from_rings
+from gridmere.session import materialise
 from gridmere.plans import enrich, growth, prepare, stack
 from gridmere.plans.compare import compare_feature_sets
 from gridmere.sources.tables import type_listings, type_weekly_index
@@ -147,8 +148,13 @@ def test_write_six_tables(tables, tmp_path, spark):
     assert spark.read.parquet(str(tmp_path / "master")).count() == 120
 
 
-def test_prepare(tables, tmp_path):
-    clean, feats = prepare.prepare(tables.master, str(tmp_path))
+@pytest.fixture(scope="module")
+def prepared(tables, tmp_path_factory):
+    return prepare.prepare(tables.master, str(tmp_path_factory.mktemp("prepared")))
+
+
+def test_prepare(prepared):
+    clean, feats = prepared
     assert 0 < clean.count() <= 120
     assert set(feats.columns) | set(feats.rejected) == set(clean.columns)
     assert not set(feats.columns) & set(feats.rejected)
@@ -164,9 +170,11 @@ def test_growth(tables, sources):
     assert rows["21001"]["census_median_rent_weekly"] == pytest.approx(0.25 * 400 + 0.75 * 401)
     assert rows["21001"]["erp_cagr_pct"] == pytest.approx(1.84, abs=0.1)
     assert rows["21001"]["crime_suburb_rate_per_1k"] is not None
+    s = materialise(s, "suburbs")
     many = s
     for i in range(1, 12):
         many = many.unionByName(s.withColumn("sal_code_2021", F.concat(F.lit(f"{i}_"), "sal_code_2021")))
+    many = materialise(many, "many_suburbs")
     predicted, weights, scores = growth.fit_growth(many, features=features, trees=4, depth=3, folds=2)
     assert predicted.count() == 36 and predicted.where("predicted_growth_pct is null").count() == 0
     assert scores.first()["rows"] == 24 and weights.count() == 2
@@ -174,8 +182,8 @@ def test_growth(tables, sources):
     assert len(top) == 5 and all(r["dwellings_2021"] >= 200 for r in top)
 
 
-def test_stack_and_comparison(tables, spark):
-    clean, _ = prepare.prepare(tables.master)
+def test_stack_and_comparison(prepared):
+    clean, _ = prepared
     df = stack.model_table(clean)
     assert not {"bond", "lat", "date_listed", "rent_outlier_high"} & set(df.columns)
     assert df.where("available_month = -1").count() == df.count()
