@@ -38,13 +38,23 @@ def most_frequent_imputation(spark, sf):
     return M.fill_most_frequent(items(spark, sf), ["kind"]).select("row_id", "price", "kind")
 
 
-@query("one_hot_encoding")
+@query(
+    "one_hot_encoding",
+    f"""WITH t AS ({_ITEMS}), f AS (SELECT kind, count(*) AS n FROM t WHERE kind IS NOT NULL GROUP BY 1),
+  m AS (SELECT kind FROM f ORDER BY n DESC, kind LIMIT 1), u AS (SELECT row_id, price, coalesce(kind, (SELECT kind FROM m)) AS kind FROM t),
+  s AS (SELECT kind, row_number() OVER (ORDER BY count(*) DESC, kind) - 1 AS slot FROM u GROUP BY 1)
+  SELECT row_id, price, kind, slot, 1e0 AS total FROM u JOIN s USING (kind)""",
+)
 def one_hot_encoding(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     df = M.fill_most_frequent(items(spark, sf), ["kind"])
     made = Pipeline(stages=M.preparation([], ["kind"])).fit(df).transform(df)
-    return made.select("row_id", "kind", vector_to_array("features").alias("flags"))
+    flags = made.select("row_id", "price", "kind", vector_to_array("features").alias("flags"))
+    total = F.aggregate("flags", F.lit(0.0), lambda s, v: s + v)
+    return flags.select(
+        "row_id", "price", "kind", (F.array_position("flags", 1.0) - 1).alias("slot"), total.alias("total")
+    )
 
 
 @query(
@@ -102,21 +112,45 @@ def ridge_model(spark, sf):
     return scored.select("*", F.lit(fit["alpha"]).alias("alpha"))
 
 
-@query("train_test_split")
+def bucket_sql(key: str, seed: int) -> str:
+    return f"CAST(concat('0x', substr(md5(concat({key}, '|{seed}')), 1, 8)) AS BIGINT) % 10000"
+
+
+@query(
+    "train_test_split",
+    f"SELECT o_orderkey AS row_id, CASE WHEN {bucket_sql('o_orderkey', 67)} < 2000 THEN 'test' ELSE 'train' END AS part FROM orders",
+)
 def train_test_split(spark, sf):
-    train, test = M.train_test(items(spark, sf), "row_id")
-    return train.select("row_id", F.lit("train").alias("part")).unionByName(
-        test.select("row_id", F.lit("test").alias("part"))
-    )
+    train, test = M.train_test(table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id")), "row_id")
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@query("grouped_split")
+@query(
+    "grouped_split",
+    f"""SELECT l_suppkey AS area, CASE WHEN {bucket_sql('l_suppkey', 67)} < 2000 THEN 'test' ELSE 'train' END AS part, count(*) AS rows
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
+)
 def grouped_split(spark, sf):
     train, test = M.train_test(items(spark, sf), "area")
     parts = union_all([train.select("area", F.lit("train").alias("part")), test.select("area", F.lit("test").alias("part"))])
     return parts.groupBy("area", "part").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query(
+    "out_of_fold_linear",
+    f"""WITH t AS (SELECT o_orderkey AS row_id, CAST(o_custkey AS DOUBLE) AS x, o_totalprice AS y, ({bucket_sql('o_orderkey', 68)}) % 5 AS fold FROM orders),
+  f AS (SELECT k AS fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t, (SELECT unnest(range(5)) AS k) q WHERE t.fold <> k GROUP BY 1)
+  SELECT row_id, CAST(t.fold AS INT) AS fold, round(a + b * x, 1) AS prediction FROM t JOIN f ON t.fold = f.fold""",
+)
+def out_of_fold_linear(spark, sf):
+    df = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").alias("y")
+    )
+    make = lambda: Pipeline(stages=[*M.preparation(["x"], scale=False), M.linear("y")])
+    out = M.out_of_fold(M.with_fold(df, "row_id"), make)
+    return out.select("row_id", "fold", F.round("prediction", 1).alias("prediction"))
+
+
 def _linear_on(columns, categorical=()):
     return lambda: Pipeline(stages=[*M.preparation(columns, list(categorical)), M.linear("price")])
 

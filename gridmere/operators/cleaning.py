@@ -39,17 +39,24 @@ def void_sentinels(df: DataFrame, target: str = fixed.TARGET, values=fixed.RENT_
     return _void(df, target, F.col(target).isin(list(values)))
 
 
-def drop_unusable_target(
-    df: DataFrame, target: str = fixed.TARGET,
-    too_low: float = fixed.RENT_TOO_LOW, too_high: float = fixed.RENT_TOO_HIGH,
-) -> DataFrame:
-    return df.where((F.col(target) >= too_low) & (F.col(target) < too_high))
+def _usable(
+    target: str = fixed.TARGET, too_low: float = fixed.RENT_TOO_LOW, too_high: float = fixed.RENT_TOO_HIGH
+) -> Column:
+    return _true((F.col(target) >= too_low) & (F.col(target) < too_high))
+
+
+def drop_unusable_target(df: DataFrame, target: str = fixed.TARGET, **limits: float) -> DataFrame:
+    return df.where(_usable(target, **limits))
+
+
+def _comparable(column: str = "property_type", values=fixed.OTHER_CATEGORIES) -> Column:
+    return ~_true(F.col(column).isin(list(values)))
 
 
 def drop_other_categories(
     df: DataFrame, column: str = "property_type", values=fixed.OTHER_CATEGORIES
 ) -> DataFrame:
-    return df.where(~_true(F.col(column).isin(list(values)))) if _has(df, column) else df
+    return df.where(_comparable(column, values)) if _has(df, column) else df
 
 
 def void_implausible(
@@ -69,14 +76,15 @@ def void_implausible(
     return df
 
 
+def _whole_dwelling(target: str = fixed.TARGET, bedrooms: str = "bedrooms") -> Column:
+    each = ratio(F.col(target), F.col(bedrooms).cast("double"))
+    return ~_true((F.col(bedrooms) >= fixed.ROOM_BEDROOMS_MIN) & (each < fixed.ROOM_RENT_MIN))
+
+
 def drop_per_room(
     df: DataFrame, target: str = fixed.TARGET, bedrooms: str = "bedrooms"
 ) -> DataFrame:
-    if not _has(df, bedrooms):
-        return df
-    each = ratio(F.col(target), F.col(bedrooms).cast("double"))
-    room = (F.col(bedrooms) >= fixed.ROOM_BEDROOMS_MIN) & (each < fixed.ROOM_RENT_MIN)
-    return df.where(~_true(room))
+    return df.where(_whole_dwelling(target, bedrooms)) if _has(df, bedrooms) else df
 
 
 def drop_stale(df: DataFrame, date: str = "date_listed", days: int = fixed.MAX_AGE_DAYS) -> DataFrame:
@@ -165,26 +173,40 @@ def clean_listings(df: DataFrame, drop_per_room_pricing: bool = True) -> DataFra
 
 
 def cleaning_ledger(df: DataFrame, drop_per_room_pricing: bool = True) -> DataFrame:
-    """Rows in and out of each rule, and how many it dropped."""
-    from gridmere.operators.tables import union_all
-
-    steps, out = [df], []
-    for name, rule in RULES.items():
-        if name == "per_room_pricing" and not drop_per_room_pricing:
-            continue
-        nxt = rule(steps[-1])
-        if name in ("unusable_target", "other_category", "per_room_pricing", "stale", "older_copy"):
-            out.append(
-                (name, steps[-1].agg(F.count(F.lit(1)).alias("rows_in")), nxt.agg(F.count(F.lit(1)).alias("rows_out")))
-            )
-        steps.append(nxt)
-    return union_all(
-        [
-            after.select(
-                F.lit(i).alias("step"), F.lit(name).alias("rule"),
-                before.scalar().alias("rows_in"), "rows_out",
-                (before.scalar() - F.col("rows_out")).alias("dropped"),
+    """
+    Rows in and out of each dropping rule. Each row is marked with the first rule that
+    drops it, so one pass counts them all; the newest date and the copies that remain are
+    one pass each.
+    """
+    rows = void_implausible(void_sentinels(df))
+    why = F.when(~_usable(), "unusable_target")
+    if _has(df, "property_type"):
+        why = why.when(~_comparable(), "other_category")
+    if drop_per_room_pricing and _has(df, "bedrooms"):
+        why = why.when(~_whole_dwelling(), "per_room_pricing")
+    rows = rows.withColumn("__why", why)
+    kept = rows.where(F.col("__why").isNull())
+    if _has(df, "date_listed"):
+        newest = kept.agg(F.max("date_listed").alias("m")).scalar()
+        stale = _true(F.date_diff(newest, F.col("date_listed")) > fixed.MAX_AGE_DAYS)
+        rows = rows.withColumn("__why", F.coalesce("__why", F.when(stale, "stale")))
+        kept = rows.where(F.col("__why").isNull())
+    left = drop_older_copies(kept).agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    names = ["unusable_target", "other_category", "per_room_pricing", "stale"]
+    if not drop_per_room_pricing:
+        names.remove("per_room_pricing")
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("__n"), *[F.count(F.when(F.col("__why") == n, 1)).alias(n) for n in names]
+    ).withColumn("__left", left)
+    inn, steps = F.col("__n"), []
+    for i, n in enumerate([*names, "older_copy"]):
+        out = F.col("__left") if n == "older_copy" else inn - F.col(n)
+        steps.append(
+            F.struct(
+                F.lit(i).alias("step"), F.lit(n).alias("rule"), inn.alias("rows_in"), out.alias("rows_out"),
+                (inn - out).alias("dropped"),
             )
-            for i, (name, before, after) in enumerate(out)
-        ]
-    )
+        )
+        inn = out
+    return counts.select(F.inline(F.array(*steps)))
