@@ -15,10 +15,15 @@ formed between a position and a point that could not be among its k nearest:
    bound is above it are dropped. So a dense cluster far away contributes its
    near cells only;
 4. positions meet the points of the remaining cells and keep the k nearest.
+
+The smallest cells are about 150 m, and smaller where the points are so dense that one of
+those would hold thousands of them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,29 +31,41 @@ from gridmere.functions import sphere as S
 from gridmere.operators.tables import not_null
 
 FINEST = 18  # cells of about 150 m
-LEVELS = [0, *range(2, FINEST + 1)]
+LIMIT = 26  # cells of about 60 cm
+CROWDED = 2000  # points in one cell
+
+
+def finest_level(points: DataFrame, lat: str, lon: str) -> int:
+    """FINEST, or deeper by one level per factor of four that its fullest cell is crowded."""
+    cells = _cells_of(points, lat, lon, FINEST).groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("n"))
+    fullest = cells.agg(F.max("n")).first()[0] or 0
+    deeper = math.ceil(math.log(fullest / CROWDED, 4)) + 2 if fullest > CROWDED else 0
+    return min(LIMIT, FINEST + deeper)
 
 
-def _at_level(x, level):
-    return S.coarser(x, F.lit(FINEST) - level)
+def _at_level(x, level, finest: int):
+    return S.coarser(x, F.lit(finest) - level)
 
 
-def _cells_of(points: DataFrame, lat: str, lon: str) -> DataFrame:
+def _cells_of(points: DataFrame, lat: str, lon: str, finest: int) -> DataFrame:
     return points.withColumns(
-        {"__x": S.cell_x(F.col(lon), FINEST), "__y": S.cell_y(F.col(lat), FINEST)}
+        {"__x": S.cell_x(F.col(lon), finest), "__y": S.cell_y(F.col(lat), finest)}
     )
 
 
-def _every_level(df: DataFrame) -> DataFrame:
-    levels = F.array(*[F.lit(v) for v in LEVELS])
+def _every_level(df: DataFrame, finest: int) -> DataFrame:
+    levels = F.array(*[F.lit(v) for v in (0, *range(2, finest + 1))])
     level = F.explode(levels).alias("__v")
     out = df.select("*", level)
     return out.withColumns(
-        {"__cx": _at_level(F.col("__x"), F.col("__v")), "__cy": _at_level(F.col("__y"), F.col("__v"))}
+        {
+            "__cx": _at_level(F.col("__x"), F.col("__v"), finest),
+            "__cy": _at_level(F.col("__y"), F.col("__v"), finest),
+        }
     )
 
 
-def _candidate_cells(homes: DataFrame, counts: DataFrame, by: list[str], k: int) -> DataFrame:
+def _candidate_cells(homes: DataFrame, counts: DataFrame, by: list[str], k: int, finest: int) -> DataFrame:
     """(home, category) -> cells that can hold one of the k nearest points."""
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
     whole = F.array(F.lit(0))
@@ -67,20 +84,21 @@ def _candidate_cells(homes: DataFrame, counts: DataFrame, by: list[str], k: int)
     )
     home = ["__x", "__y"]
     level = (
-        _every_level(homes)
+        _every_level(homes, finest)
         .join(blocks, ["__v", "__cx", "__cy"], "inner")
         .groupBy(*home, *by)
         .agg(F.max("__v").alias("__lv"))
     )
     level, here = S.add_cell_box(
-        level, "__a", F.col("__x"), F.col("__y"), F.lit(S.cell_size(FINEST))
+        level, "__a", F.col("__x"), F.col("__y"), F.lit(S.cell_size(finest))
     )
     level, block = S.add_cell_box(
-        level, "__b", _at_level(F.col("__x"), F.col("__lv")), _at_level(F.col("__y"), F.col("__lv")),
+        level, "__b", _at_level(F.col("__x"), F.col("__lv"), finest),
+        _at_level(F.col("__y"), F.col("__lv"), finest),
         F.lit(360.0) / S.cells_around(F.col("__lv")), reach=1,
     )
     bound = F.when(F.col("__lv") == 0, F.lit(1.0)).otherwise(S.hav_high(here, block))
-    finer = F.greatest(F.lit(2), F.least(F.col("__lv") + 1, F.lit(FINEST)))
+    finer = F.greatest(F.lit(2), F.least(F.col("__lv") + 1, F.lit(finest)))
     level = level.withColumns({"__u": bound, "__v": finer}).drop("__lv", *block.columns)
     reach = S.explode_cells_within(level, here, F.col("__u"), F.col("__v"), "__cx", "__cy")
     met = reach.join(counts, [*by, "__v", "__cx", "__cy"], "inner")
@@ -117,11 +135,13 @@ def nearest_k(
     right_id: str = "fid",
     by: list[str] | None = None,
     keep: list[str] | None = None,
+    finest: int | None = None,
 ) -> DataFrame:
     """
     One row per distinct left position (and per category in `by`) and neighbour:
     lat, lon, rank 1..k, the point's id, `keep` columns and km. Equal distances are
-    ordered by id. Fewer than k points give as many rows as there are.
+    ordered by id. Fewer than k points give as many rows as there are. The level of the
+    smallest cells is measured on the points unless it is given.
     """
     by, keep = by or [], keep or []
     points = right.where(not_null(right_lat, right_lon)).select(
@@ -131,18 +151,19 @@ def nearest_k(
     # More than k points at one position cannot all be among the k nearest.
     copies = Window.partitionBy(*by, "__lat", "__lon").orderBy("__id")
     points = points.withColumn("__c", F.row_number().over(copies)).where(F.col("__c") <= k).drop("__c")
-    points = _cells_of(points, "__lat", "__lon")
+    finest = finest_level(points, "__lat", "__lon") if finest is None else finest
+    points = _cells_of(points, "__lat", "__lon", finest)
     cells = points.groupBy(*by, "__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
     counts = (
-        _every_level(cells).groupBy(*by, "__v", "__cx", "__cy").agg(F.sum("__n").alias("__n"))
+        _every_level(cells, finest).groupBy(*by, "__v", "__cx", "__cy").agg(F.sum("__n").alias("__n"))
     )
     positions = _cells_of(
         left.where(not_null(lat, lon)).select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).distinct(),
-        "lat", "lon",
+        "lat", "lon", finest,
     )
     homes = positions.select("__x", "__y").distinct()
-    candidates = _candidate_cells(homes, counts, by, k)
-    leveled = _every_level(points).drop("__x", "__y")
+    candidates = _candidate_cells(homes, counts, by, k, finest)
+    leveled = _every_level(points, finest).drop("__x", "__y")
     h = S.hav(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))
     pairs = (
         positions.join(candidates, ["__x", "__y"], "inner")

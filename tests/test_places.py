@@ -158,3 +158,16 @@ def test_connected_groups_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(64)] + [(100, 101)], "a long, b long")
     out = {r["node"]: r["group"] for r in clusters.connected_groups(edges).collect()}
     assert set(out[i] for i in range(65)) == {0} and out[100] == out[101] == 100
+
+
+def test_a_crowded_cell_gets_smaller_cells(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "CROWDED", 20)
+    rng = random.Random(8)
+    feats = [(i, -37.8 + rng.uniform(0, 1e-4), 144.9 + rng.uniform(0, 1e-4)) for i in range(300)]
+    f = points(spark, feats)
+    assert nearest.finest_level(f, "lat", "lon") > nearest.FINEST
+    left = [(i, -37.8 + rng.uniform(-1e-4, 2e-4), 144.9 + rng.uniform(-1e-4, 2e-4)) for i in range(40)]
+    l = points(spark, left, "id long, lat double, lon double")
+    got = {(r["lat"], r["lon"]): r["fid"] for r in nearest.nearest_k(l, f).collect()}
+    for _, a, b in left:
+        assert got[(a, b)] == min((hav(a, b, c, d), i) for i, c, d in feats)[1]
