@@ -210,5 +210,29 @@ INCIDENT_FEATURES = [
 
 # --- models -----------------------------------------------------------------
 
+# Feature sets of the model comparison; columns a table lacks are skipped.
+PLACE_FEATURES = [
+    "lat", "lon", "area_albers_sqkm", "nearest_school_km", "nearest_train_station_km",
+    "nearest_bar_pub_km", "nearest_cafe_km", "nearest_childcare_km", "nearest_gp_clinic_km",
+    "nearest_gym_km", "nearest_hospital_km", "nearest_library_km", "nearest_park_km",
+    "nearest_restaurant_km", "nearest_shopping_centre_km", "nearest_supermarket_km", "bedrooms",
+    "bathrooms", "carspaces", "school_count", "train_station_count", "osm_cafe_count",
+    "osm_childcare_count", "osm_gp_clinic_count", "osm_gym_count", "osm_hopsital_count",
+    "osm_library_count", "osm_park_count", "osm_restaurant_count", "osm_shopping_centre_count",
+    "osm_supermarket_count",
+]
+SOCIOECONOMIC_FEATURES = [
+    "census_median_age", "census_population_2021", "census_median_personal_income_weekly",
+    "census_median_household_income_weekly", "census_median_rent_weekly",
+    "census_median_mortgage_monthly", "census_avg_household_size", "age_0_14_pct", "age_25_44_pct",
+    "age_65_plus_pct", "born_overseas_pct", "non_english_home_pct", "irsad_score", "irsd_score",
+    "ieo_score", "ier_score", "population_density_2025", "population_growth_pct_2024_25", "erp_2024",
+    "erp_2025", "tax_income_earners_2022_23", "tax_median_total_personal_income_2022_23",
+    "tax_mean_total_personal_income_2022_23", "vif_population_2021", "vif_population_2026",
+    "vif_population_2031", "vif_population_2036", "vif_population_growth_pct_2021_26",
+    "vif_population_growth_pct_2026_36",
+]
+OTHER_FEATURES = ["days_listed"]
+
 BAD_LISTINGS = ["17727626", "17721987", "17722092", "17727546"]
 RIDGE_ALPHAS = (-3.0, 4.0, 150)  # log10 of the ends, number of points

@@ -120,18 +120,26 @@ def resolve_candidates(
     """
     One candidate per key among all with the same name: one whose hint agrees, then
     the larger, then the lower id. Flagged where there were several and none agreed.
+
+    The best candidate per name and hint, and the best per name, are found first, so a key
+    meets two rows however many candidates share its name.
     """
-    pairs = wanted.join(candidates.where(F.col(name).isNotNull()), name, "inner").withColumn(
-        "__hint", (F.coalesce(F.col(hint[0]) == F.col(hint[1]), F.lit(False))).cast("int")
+    mine, theirs = hint
+    named = candidates.where(F.col(name).isNotNull())
+    order = [F.col(size).desc_nulls_last(), F.col(candidate_id)]
+    row = F.struct(*[c for c in candidates.columns if c != name])
+    agreeing = keep_first(named.where(F.col(mine).isNotNull()), [name, mine], order).select(
+        name, F.col(mine).alias(theirs), row.alias("__agreed")
     )
-    order = [F.col("__hint").desc(), F.col(size).desc_nulls_last(), F.col(candidate_id)]
-    several = candidates.groupBy(name).agg(F.count(F.lit(1)).alias("__n"))
-    unresolved = (F.col("__n") > 1) & (F.col("__hint") == 0)
+    largest = keep_first(named, [name], order).select(name, row.alias("__largest"))
+    several = named.groupBy(name).agg(F.count(F.lit(1)).alias("__n"))
+    unresolved = (F.col("__n") > 1) & F.col("__agreed").isNull()
     return (
-        keep_first(pairs, list(keys), order)
-        .join(several, name, "left")
-        .withColumn(flag, unresolved.cast("int"))
-        .drop("__n", "__hint")
+        keep_first(wanted, list(keys), [F.col(theirs)])
+        .join(agreeing, [name, theirs], "left")
+        .join(largest.join(several, name), name, "inner")
+        .withColumns({flag: unresolved.cast("int"), "__pick": F.coalesce("__agreed", "__largest")})
+        .select(*wanted.columns, "__pick.*", flag)
     )
 
 

@@ -171,3 +171,25 @@ def test_a_crowded_cell_gets_smaller_cells(spark, monkeypatch):
     got = {(r["lat"], r["lon"]): r["fid"] for r in nearest.nearest_k(l, f).collect()}
     for _, a, b in left:
         assert got[(a, b)] == min((hav(a, b, c, d), i) for i, c, d in feats)[1]
+
+
+def test_routes_take_independent_minima_over_near_stations(spark):
+    from gridmere.functions.sphere import coordinate_key
+    from gridmere.plans.enrich import with_routes
+
+    spots = spark.createDataFrame([(-37.8, 144.9), (-37.5, 145.5)], "lat double, lon double")
+    stations = points(spark, [(1, -37.81, 144.9), (2, -37.82, 144.9), (3, -37.83, 144.9), (4, -37.9, 144.9)])
+
+    def key(a, b):
+        return f"{a:.5f},{b:.5f}"
+
+    o = key(-37.8, 144.9)
+    routes = spark.createDataFrame(
+        [(o, "cbd", 9.0, 20.0), (o, key(-37.81, 144.9), 3.0, 9.0), (o, key(-37.82, 144.9), 4.0, 5.0),
+         (o, key(-37.83, 144.9), None, None), (o, key(-37.9, 144.9), 0.1, 0.1)],
+        "origin_key string, dest_key string, drive_km double, drive_min double",
+    )
+    got = {r["lat"]: tuple(r)[2:] for r in with_routes(spots, routes, stations).select(
+        "lat", "lon", "cbd_drive_km", "cbd_drive_min", "nearest_train_station_drive_km", "nearest_train_station_drive_min").collect()}
+    assert got == {-37.8: (9.0, 20.0, 3.0, 5.0), -37.5: (None, None, None, None)}
+    assert spots.select(coordinate_key(F.col("lat"), F.col("lon"))).first()[0] == o
