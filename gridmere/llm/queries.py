@@ -6,27 +6,76 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridmere.llm import contamination, lines, simhash, toxicity
 from gridmere.llm.packing import pack_documents
 from gridmere.llm.token_files import token_rows
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminations(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.REJECT_AT).cast("int").alias("predicted"),
+    )
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_rows(documents(spark, sf_dir), BYTE_BPE, end_id=2)
+    return token_rows(table(spark, sf_dir), BYTE_BPE, end_id=2)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_frequent_lines(table(spark, sf_dir)).select(
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir), BYTE_BPE)
+    return pack_documents(table(spark, sf_dir), BYTE_BPE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_token_files": op8_token_files,
-    "op10_best_fit_packing": op10_best_fit_packing,
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup, op4_benchmark_decontamination, op5_toxicity, op8_token_files,
+        op9_line_dedup, op10_best_fit_packing,
+    )
+}
+
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, i AS line_no, lines[i] AS line,
+                   translate(trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+            FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+                  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+        ),
+        frequent AS (
+            SELECT line_key, max(doc_id) AS last_doc FROM split WHERE length(line_key) >= 40
+            GROUP BY line_key HAVING count(DISTINCT doc_id) >= 5
+        )
+        SELECT doc_id, count(*) AS n_lines,
+               count(*) FILTER (WHERE last_doc IS NOT NULL AND last_doc <> doc_id) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no)
+                               FILTER (WHERE last_doc IS NULL OR last_doc = doc_id), '')) AS kept_sha256
+        FROM split LEFT JOIN frequent USING (line_key) GROUP BY doc_id
+    """,
 }
-ORACLES: dict[str, str] = {}

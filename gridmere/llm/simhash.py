@@ -269,3 +269,25 @@ def near_duplicates(
     return own.join(member, "print", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """
+    `docs`, all columns as they are, with the least doc_id of each group of near duplicates.
+
+    Of rows that repeat a doc_id one stays. Rows without a doc_id link others but can't be
+    named, so they stay.
+    """
+    found = materialise(near_duplicates(docs, doc_id=doc_id, text=text), "groups")
+    others = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id))
+    left = docs.join(others.distinct(), doc_id, "left_anti")
+    repeated = materialise(
+        found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(
+            F.col("doc_id").alias(doc_id)
+        ),
+        "repeated",
+    )
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id])
+    return left.join(repeated, doc_id, "left_anti").unionByName(once)
