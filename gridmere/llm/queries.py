@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmere.llm import contamination, lines, simhash, toxicity
+from gridmere.llm import contamination, licences, lines, quality, shards, simhash, toxicity
 from gridmere.llm.packing import pack_documents
 from gridmere.llm.token_files import token_rows
 
@@ -23,6 +23,14 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.license_scan(table(spark, sf_dir))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminations(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +44,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = table(spark, sf_dir).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    return shards.shuffle_into_shards(rows).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("__shard").alias("shard"),
+        F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(table(spark, sf_dir), BYTE_BPE, end_id=2)
 
@@ -54,12 +73,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_simhash_near_dedup, op4_benchmark_decontamination, op5_toxicity, op8_token_files,
-        op9_line_dedup, op10_best_fit_packing,
+        op1_simhash_near_dedup, op2_license_scan, op3_quality_rules, op4_benchmark_decontamination,
+        op5_toxicity, op7_sharding, op8_token_files, op9_line_dedup, op10_best_fit_packing,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op2_license_scan": licences.oracle_sql(),
+    "op3_quality_rules": quality.oracle_sql(),
     "op9_line_dedup": r"""
         WITH split AS (
             SELECT doc_id, i AS line_no, lines[i] AS line,
