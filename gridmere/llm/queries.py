@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmere.llm import contamination, licences, lines, quality, shards, simhash, toxicity
+from gridmere.llm import contamination, licences, lines, passages, quality, shards, simhash, toxicity
 from gridmere.llm.packing import pack_documents
 from gridmere.llm.token_files import token_rows
 
@@ -44,6 +44,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = table(spark, sf_dir).select(
@@ -74,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_license_scan, op3_quality_rules, op4_benchmark_decontamination,
-        op5_toxicity, op7_sharding, op8_token_files, op9_line_dedup, op10_best_fit_packing,
+        op5_toxicity, op6_substring_dedup, op7_sharding, op8_token_files, op9_line_dedup, op10_best_fit_packing,
     )
 }
 
