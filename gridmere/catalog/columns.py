@@ -34,11 +34,11 @@ def counts_sql(rows):
 
 
 _ROLE_ROWS = [
-    ("bond", "derived from weekly_rent (target leakage)"),
-    ("listing_id", "identifier, not a measurement"),
-    ("address", "identifier, not a measurement"),
-    ("postcode", "identifier, not a measurement"),
-    ("date_listed", "known only after listing / consequence of the price"),
+    ("bond", "computed from the target"),
+    ("listing_id", "names a row or a place"),
+    ("address", "names a row or a place"),
+    ("postcode", "names a row or a place"),
+    ("date_listed", "not known when the price is set"),
 ]
 
 
@@ -49,8 +49,8 @@ def role_rejection(spark, sf):
 
 
 _PATTERN_ROWS = [
-    ("irsd_aus_decile", "decile is a ten-bucket rounding of the percentile already kept"),
-    ("irsd_score", "SEIFA raw score; the same index as its percentile on an arbitrary scale"),
+    ("irsd_aus_decile", "the percentile says the same, finer"),
+    ("irsd_score", "the percentile says the same on a known scale"),
 ]
 
 
@@ -60,7 +60,7 @@ def pattern_rejection(spark, sf):
     return with_counts(df, spark, list(K.reject_by_pattern(df.columns).items()))
 
 
-_TYPE_ROWS = [("lat", "numeric"), ("property_type", "categorical"), ("seen_on", "unhandled date column, no role assigned")]
+_TYPE_ROWS = [("lat", "numeric"), ("property_type", "categorical"), ("seen_on", "no use for a date")]
 
 
 @query("type_split", f"WITH w AS ({_WIDE}) {counts_sql(_TYPE_ROWS)}")
@@ -71,10 +71,10 @@ def type_split(spark, sf):
     return with_counts(df, spark, rows)
 
 
-@query("empty_rejection", f"WITH w AS ({_WIDE}) {counts_sql([('nothing', 'entirely missing')])}")
+@query("empty_rejection", f"WITH w AS ({_WIDE}) {counts_sql([('nothing', 'no value in any row')])}")
 def empty_rejection(spark, sf):
     df = wide(spark, sf)
-    rows = [(c, "entirely missing") for c in K.entirely_missing(df, ["bedrooms", "nothing", "lat"])]
+    rows = [(c, "no value in any row") for c in K.entirely_missing(df, ["bedrooms", "nothing", "lat"])]
     return with_counts(df, spark, rows)
 
 
@@ -100,22 +100,22 @@ def correlation_pruning(spark, sf):
 # Expected fate of every column of the cleaned wide table.
 _FEATURE_ROWS = [
     ("weekly_rent", "rejected", "target"),
-    ("bond", "rejected", "derived from weekly_rent (target leakage)"),
-    ("rent_outlier_high", "rejected", "derived from weekly_rent (target leakage)"),
-    ("listing_id", "rejected", "identifier, not a measurement"),
-    ("address", "rejected", "identifier, not a measurement"),
-    ("address_key", "rejected", "identifier, not a measurement"),
-    ("postcode", "rejected", "identifier, not a measurement"),
-    ("date_listed", "rejected", "known only after listing / consequence of the price"),
-    ("irsd_score", "rejected", "SEIFA raw score; the same index as its percentile on an arbitrary scale"),
-    ("irsd_aus_decile", "rejected", "decile is a ten-bucket rounding of the percentile already kept"),
-    ("seen_on", "rejected", "unhandled date column, no role assigned"),
-    ("nothing", "rejected", "entirely missing"),
-    ("tax_income_earners_2021_22", "rejected", "superseded vintage of tax_income_earners_2022_23"),
-    ("erp_2024", "rejected", "superseded vintage of erp_2025"),
+    ("bond", "rejected", "computed from the target"),
+    ("rent_outlier_high", "rejected", "computed from the target"),
+    ("listing_id", "rejected", "names a row or a place"),
+    ("address", "rejected", "names a row or a place"),
+    ("address_key", "rejected", "names a row or a place"),
+    ("postcode", "rejected", "names a row or a place"),
+    ("date_listed", "rejected", "not known when the price is set"),
+    ("irsd_score", "rejected", "the percentile says the same on a known scale"),
+    ("irsd_aus_decile", "rejected", "the percentile says the same, finer"),
+    ("seen_on", "rejected", "no use for a date"),
+    ("nothing", "rejected", "no value in any row"),
+    ("tax_income_earners_2021_22", "rejected", "older than tax_income_earners_2022_23"),
+    ("erp_2024", "rejected", "older than erp_2025"),
     ("always", "rejected", "constant"),
-    ("bathrooms", "rejected", "correlated above 0.95 with tax_income_earners_2022_23"),
-    ("bedrooms", "rejected", "correlated above 0.95 with census_rooms"),
+    ("bathrooms", "rejected", "follows tax_income_earners_2022_23"),
+    ("bedrooms", "rejected", "follows census_rooms"),
     ("census_rooms", "numeric", None), ("tax_income_earners_2022_23", "numeric", None),
     ("erp_2025", "numeric", None), ("carspaces", "numeric", None), ("lat", "numeric", None), ("lon", "numeric", None),
     ("carspaces_missing", "numeric", None), ("bedrooms_missing", "numeric", None),
@@ -137,11 +137,11 @@ def feature_selection(spark, sf):
     "present_columns",
     """SELECT 'lat' AS "column", true AS present, count(*) FILTER (c_acctbal > 0) AS positive FROM customer
   UNION ALL SELECT 'c_name', true, count(*) FILTER (c_acctbal > 0) FROM customer
-  UNION ALL SELECT 'osm_hopsital_count', false, count(*) FILTER (c_acctbal > 0) FROM customer""",
+  UNION ALL SELECT 'osm_hospital_count', false, count(*) FILTER (c_acctbal > 0) FROM customer""",
 )
 def present_columns(spark, sf):
     df = table(spark, sf, "customer").withColumn("lat", F.col("c_acctbal"))
-    have, lack = K.present_and_absent(df, ["lat", "osm_hopsital_count", "c_name"])
+    have, lack = K.present_and_absent(df, ["lat", "osm_hospital_count", "c_name"])
     names = F.array(
         *[F.struct(F.lit(c).alias("column"), F.lit(True).alias("present")) for c in have],
         *[F.struct(F.lit(c).alias("column"), F.lit(False).alias("present")) for c in lack],

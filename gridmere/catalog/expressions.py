@@ -69,7 +69,8 @@ def column_lookup(spark, sf):
 
 
 _TEXT_NUMBERS = """SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'np' WHEN 1 THEN '' WHEN 2 THEN NULL
-  WHEN 3 THEN 'NaN' ELSE CAST(o_custkey AS STRING) END AS raw FROM orders"""
+  WHEN 3 THEN 'NaN' WHEN 4 THEN concat(CAST(o_custkey AS STRING), 'd') WHEN 5 THEN concat(' ', CAST(o_custkey AS STRING), CASE o_orderkey % 2 WHEN 0 THEN 'f' ELSE '.5e1 ' END)
+  ELSE CAST(o_custkey AS STRING) END AS raw FROM orders"""
 
 
 @query(

@@ -23,10 +23,10 @@ def items(spark, sf):
 
 @query(
     "median_imputation",
-    f"""SELECT row_id, price, coalesce(quantity, (SELECT quantile_disc(quantity, 0.5) FROM ({_ITEMS}) u)) AS quantity FROM ({_ITEMS}) t""",
+    f"""SELECT row_id, price, coalesce(quantity, (SELECT median(quantity) FROM ({_ITEMS}) u)) AS quantity FROM ({_ITEMS}) t""",
 )
 def median_imputation(spark, sf):
-    return M.fill_medians(items(spark, sf), ["quantity"], error=0.0).select("row_id", "price", "quantity")
+    return M.fill_medians(items(spark, sf), ["quantity"]).select("row_id", "price", "quantity")
 
 
 @query(

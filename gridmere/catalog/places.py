@@ -70,6 +70,22 @@ def point_in_polygon(spark, sf):
     return polygons.with_containing_area(left(spark, sf), areas(spark, sf), "area_id").select("id", "area_id")
 
 
+def _border(vertices):
+    """Every corner of the areas and the middle of every side: points on the border."""
+    return f"""SELECT area_id * 10 + seq AS id, lat, lon FROM ({vertices}) v
+  UNION ALL SELECT 1000 + a.area_id * 10 + a.seq AS id, (a.lat + b.lat) / 2 AS lat, (a.lon + b.lon) / 2 AS lon
+  FROM ({vertices}) a JOIN ({vertices}) b ON a.area_id = b.area_id AND b.seq = (a.seq + 1) % 6"""
+
+
+@query(
+    "border_points_outside",
+    f"SELECT id, CAST(NULL AS INTEGER) AS area_id FROM ({_border(POLY_DUCK)}) p",
+)
+def border_points_outside(spark, sf):
+    border = shaped(spark, sf, _border(POLY_SPARK))
+    return polygons.with_containing_area(border, areas(spark, sf), "area_id").select("id", "area_id")
+
+
 _STOPS = f"SELECT fid AS id, category, lat, lon FROM ({GEO_RIGHT}) q"
 
 
@@ -162,13 +178,12 @@ def projected_area(spark, sf):
 
 @query(
     "best_routes",
-    f"""WITH r AS ({ROUTES}), c AS (SELECT DISTINCT o_custkey AS origin, l_suppkey AS dest FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'
+    f"""WITH r AS ({ROUTES}), c AS (SELECT DISTINCT o_custkey AS origin, l_suppkey AS dest FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     UNION SELECT c_custkey, 1 + c_custkey % 100 FROM customer)
   SELECT c.origin, min(drive_km) AS nearest_train_station_drive_km, min(drive_min) AS nearest_train_station_drive_min FROM c LEFT JOIN r ON c.origin = r.origin AND c.dest = r.dest GROUP BY 1""",
 )
 def best_routes(spark, sf):
-    returned = table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R")
-    bought = returned.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+    bought = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("origin"), F.col("l_suppkey").alias("dest")
     )
     k = F.col("c_custkey")

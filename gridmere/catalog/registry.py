@@ -111,7 +111,7 @@ YEARLY = """SELECT c_nationkey AS k, CAST(year(o_orderdate) AS INT) AS yr, round
 
 INCIDENTS = """SELECT user_id % 20 AS postcode, user_id % 7 AS name_key, user_id % 3 AS parent,
   event_type AS division, CAST(ts AS DATE) AS period, count(*) AS n
-  FROM events WHERE event_id % 11 < 3 GROUP BY 1, 2, 3, 4, 5"""
+  FROM events GROUP BY 1, 2, 3, 4, 5"""
 
 LABELS_TEXT = """SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN NULL
   ELSE concat(p_type, ', ', p_name, ',  ', p_brand) END AS raw FROM part"""

@@ -147,7 +147,7 @@ def area_polygon_scan(spark, sf):
 def glob_csv_scan(spark, sf):
     path = new_path(spark, "extract")
     df = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    df.coalesce(1).write.option("header", True).csv(f"{path}/inner/G02")
+    df.write.option("header", True).csv(f"{path}/inner/G02")
     return T.read_first_match(spark, path, "part-*.csv")
 
 

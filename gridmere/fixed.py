@@ -149,23 +149,23 @@ RENT_RANGE_MODELS = (100, 5000)
 # --- column roles -----------------------------------------------------------
 
 ROLES = {
-    "derived from weekly_rent (target leakage)": [
+    "computed from the target": [
         "bond", "rent_per_bedroom", "rent_vs_2021_census_median",
         "rent_vs_sqm_market", "rent_to_area_median_hh_income_pct", "rent_outlier_high",
     ],
-    "identifier, not a measurement": [
+    "names a row or a place": [
         "listing_id", "url", "address", "address_key", "sa2_code_2021", "sa3_code_2021",
         "sa4_code_2021", "gccsa_code_2021", "sal_code_2021", "mb_code_2021", "postcode",
     ],
-    "area name, duplicates the joined SA2 covariates": [
+    "place name; the area measures stand for it": [
         "sa2_name_2021", "sa3_name_2021", "sa4_name_2021", "gccsa_name_2021",
         "sal_name_2021", "suburb",
     ],
-    "known only after listing / consequence of the price": [
+    "not known when the price is set": [
         "days_listed", "date_listed", "available_date",
     ],
-    "free text, superseded by the feat_* flags": ["structured_features"],
-    "99.95% identical to property_type": ["secondary_type"],
+    "label text; its flags are kept": ["structured_features"],
+    "repeats property_type": ["secondary_type"],
 }
 CATEGORICAL = ["property_type", "primary_type"]
 CORRELATION_LIMIT = 0.95
@@ -174,9 +174,9 @@ PREFERRED = [
     r"^vif_population_growth", r"^population_growth",
 ]
 REJECT_PATTERNS = {
-    r"_aus_decile$": "decile is a ten-bucket rounding of the percentile already kept",
+    r"_aus_decile$": "the percentile says the same, finer",
     r"^(?:irsad|irsd|ier|ieo)_score$":
-        "SEIFA raw score; the same index as its percentile on an arbitrary scale",
+        "the percentile says the same on a known scale",
 }
 VINTAGE_STEMS = [
     "tax_income_earners", "tax_median_total_personal_income",
@@ -217,7 +217,7 @@ PLACE_FEATURES = [
     "nearest_gym_km", "nearest_hospital_km", "nearest_library_km", "nearest_park_km",
     "nearest_restaurant_km", "nearest_shopping_centre_km", "nearest_supermarket_km", "bedrooms",
     "bathrooms", "carspaces", "school_count", "train_station_count", "osm_cafe_count",
-    "osm_childcare_count", "osm_gp_clinic_count", "osm_gym_count", "osm_hopsital_count",
+    "osm_childcare_count", "osm_gp_clinic_count", "osm_gym_count", "osm_hospital_count",
     "osm_library_count", "osm_park_count", "osm_restaurant_count", "osm_shopping_centre_count",
     "osm_supermarket_count",
 ]

@@ -15,8 +15,13 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
+_DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def to_number(c: Column) -> Column:
-    return finite(c.try_cast("double"))
+    """A decimal number in text; Java's suffixes, as in 5d or 7f, do not make one."""
+    text = c.cast("string")
+    return finite(F.when(text.rlike(_DECIMAL), F.trim(text)).try_cast("double"))
 
 
 def zero_to_null(c: Column) -> Column:

@@ -17,8 +17,10 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridmere import fixed
+from gridmere.functions.numbers import finite
 from gridmere.operators.tables import union_all
 
 _BUCKETS = 10_000
@@ -53,27 +55,70 @@ def with_fold(df: DataFrame, key: str, folds: int = 5, seed: int = 67, name: str
 
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     """The commonest value per column; of equally common ones the smallest."""
-    out = {}
-    for c in columns:
-        row = (
-            df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.col("n").desc(), F.col(c)).first()
-        )
-        if row:
-            out[c] = row[0]
-    return out
+    if not columns:
+        return {}
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)]
+    )
+    counts = df.select(F.inline(cells)).where("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("i").agg(F.min(F.struct(-F.col("n"), F.col("v"))).alias("best"))
+    found = {r["i"]: r["best"]["v"] for r in best.collect()}  # one row per column
+    types = {c: df.schema[c].dataType for c in columns}
+    return {
+        c: found[i] if isinstance(types[c], T.StringType) else float(found[i])
+        for i, c in enumerate(columns) if i in found
+    }
 
 
 def fill_most_frequent(df: DataFrame, columns: Sequence[str], source: DataFrame | None = None) -> DataFrame:
     return df.fillna(most_frequent(source if source is not None else df, columns))
 
 
+def exact_medians(df: DataFrame, columns: Sequence[str], error: float = 0.001) -> dict[str, float]:
+    """
+    The exact median per column, the mean of the middle two for an even count; columns
+    without a value are left out.
+
+    Approximate quantiles give brackets around the middle. One pass counts the values below
+    and inside each bracket, and the middle ranks are then found among the distinct values inside,
+    a share of about four times `error` of the column.
+    """
+    cols = list(columns)
+    num = df.select(*[finite(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    names = num.columns
+    low, high = max(0.0, 0.5 - error), min(1.0, 0.5 + error)
+    near = num.approxQuantile(names, [low, high], error / 2)
+    bounds = {v: tuple(q) for v, q in zip(names, near, strict=True) if q}
+    if not bounds:
+        return {}
+    counts = num.agg(
+        *[F.count(v).alias(f"n{v}") for v in bounds],
+        *[F.count(F.when(F.col(v) < F.lit(a), 1)).alias(f"b{v}") for v, (a, _) in bounds.items()],
+        *[
+            F.count(F.when(F.col(v).between(F.lit(a), F.lit(b)), 1)).alias(f"m{v}")
+            for v, (a, b) in bounds.items()
+        ],
+    ).first()
+    wanted = {}
+    for v, (a, b) in bounds.items():
+        n, below, inside = counts[f"n{v}"], counts[f"b{v}"], counts[f"m{v}"]
+        ranks = [(n - 1) // 2 - below, n // 2 - below]
+        wanted[v] = F.percentile(
+            F.when(F.col(v).between(F.lit(a), F.lit(b)), F.col(v)),
+            [min(1.0, max(0.0, r / max(1, inside - 1))) for r in ranks],
+        ).alias(v)
+    middle = num.agg(*wanted.values()).first()
+    return {cols[int(v[1:])]: sum(middle[v]) / 2 for v in bounds}
+
+
 def fill_medians(
     df: DataFrame, columns: Sequence[str], source: DataFrame | None = None, error: float = 0.001
 ) -> DataFrame:
-    """Missing values to the median of the source rows (the training rows, say)."""
-    imputer = Imputer(strategy="median", inputCols=list(columns), outputCols=list(columns), relativeError=error)
-    return imputer.fit(source if source is not None else df).transform(df)
+    """Missing values to the exact median of the source rows (the training rows, say)."""
+    medians = exact_medians(source if source is not None else df, columns, error)
+    return df.withColumns(
+        {c: F.coalesce(finite(F.col(c).cast("double")), F.lit(m)) for c, m in medians.items()}
+    )
 
 
 def standardise(df: DataFrame, columns: Sequence[str], source: DataFrame | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridmere import fixed
 from gridmere.functions.sphere import cells_around
-from gridmere.operators.tables import not_null
+from gridmere.operators.tables import keep_first, not_null
 
 COARSEST, FINEST = 3, 18  # cells of 45 degrees down to about 150 m
 CELLS_ACROSS = 8
@@ -121,14 +121,28 @@ def projected_area(edges: Column) -> Column:
 
 
 def inside(lat: Column, lon: Column, edges: Column) -> Column:
-    """Even-odd test: an odd number of edges lies east of the point."""
+    """
+    Strictly inside: an odd number of edges lies east of the point, and none goes through it. A
+    point on an edge or a corner makes the count null, which is no containment.
+    """
 
     def crosses(e: Column) -> Column:
         spans = (e.lat1 > lat) != (e.lat2 > lat)
         at = e.lon1 + (lat - e.lat1) / (e.lat2 - e.lat1) * (e.lon2 - e.lon1)
-        return F.when(spans, (lon < at).cast("int")).otherwise(0)
+        in_line = (lon - e.lon1) * (e.lat2 - e.lat1) == (lat - e.lat1) * (e.lon2 - e.lon1)
+        touches = (
+            in_line
+            & lat.between(F.least(e.lat1, e.lat2), F.greatest(e.lat1, e.lat2))
+            & lon.between(F.least(e.lon1, e.lon2), F.greatest(e.lon1, e.lon2))
+        )
+        return (
+            F.when(touches, F.lit(None).cast("int"))
+            .when(spans, (lon < at).cast("int"))
+            .otherwise(F.lit(0))
+        )
 
-    return F.aggregate(edges, F.lit(0), lambda n, e: n + crosses(e)) % 2 == 1
+    count = F.aggregate(edges, F.lit(0), lambda n, e: n + crosses(e))
+    return F.coalesce(count % 2 == 1, F.lit(False))
 
 
 def _polygon_cells(polygons: DataFrame, key: str, edges: str) -> DataFrame:
@@ -179,7 +193,8 @@ def positions_in_polygons(
 ) -> DataFrame:
     """Distinct positions with each polygon that contains them: lat, lon, key."""
     cells = _polygon_cells(polygons, key, edges)
-    levels = F.array(*[F.lit(v) for v in range(COARSEST, FINEST + 1)])
+    # Polygons of one kind use a few of the 16 levels; positions are entered in those alone.
+    levels = cells.agg(F.array_sort(F.collect_set("__v"))).scalar()
     size = F.lit(360.0) / cells_around(F.col("__v"))
     spots = (
         points.where(not_null(lat, lon))
@@ -245,7 +260,7 @@ def smallest_lot(
     that lot is shared (`land_lot_shared`): a second lot within the tolerance of the
     smallest. A shared lot has no area of its own; no lot gives null in both.
     """
-    unique = lots.dropDuplicates([key])
+    unique = keep_first(lots, [key], [F.col(edges).asc_nulls_last()])
     sized = unique.withColumn("__area", projected_area(F.col(edges)) if area is None else area)
     hits = positions_in_polygons(points, unique, key, lat, lon, edges).join(
         sized.select(key, "__area"), key, "inner"

@@ -265,18 +265,22 @@ def month_means(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct count, minimum and maximum of each column, one row per column."""
-    return union_all(
-        [
-            df.agg(
-                F.lit(c).alias("column"),
-                F.count_distinct(c).alias("distinct_values"),
-                F.min(c).cast("string").alias("min_value"),
-                F.max(c).cast("string").alias("max_value"),
+    """Distinct count, minimum and maximum of each column, one row per column, from one scan."""
+    one = df.agg(
+        *[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)],
+        *[F.min(c).cast("string").alias(f"a{i}") for i, c in enumerate(columns)],
+        *[F.max(c).cast("string").alias(f"z{i}") for i, c in enumerate(columns)],
+    )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct_values"),
+                F.col(f"a{i}").alias("min_value"), F.col(f"z{i}").alias("max_value"),
             )
-            for c in columns
+            for i, c in enumerate(columns)
         ]
     )
+    return one.select(F.inline(rows))
 
 
 def bounding_box(df: DataFrame, lat: str, lon: str) -> DataFrame:
@@ -296,9 +300,13 @@ def union_all(tables: Sequence[DataFrame]) -> DataFrame:
 def key_period_grid(df: DataFrame, key: str, period: str) -> DataFrame:
     """
     Every key in every period. Periods are calendar steps, so they fit an array;
-    each distinct key explodes that array.
+    each distinct key explodes that array. Distinct periods are found by a grouping, so
+    that only they meet in one place.
     """
-    periods = df.agg(F.array_sort(F.collect_set(period)).alias("p")).scalar()
+    periods = (
+        df.select(period).where(F.col(period).isNotNull()).distinct()
+        .agg(F.array_sort(F.collect_list(period)).alias("p")).scalar()
+    )
     keys = df.where(F.col(key).isNotNull()).select(key).distinct()
     return keys.select(key, F.explode(periods).alias(period))
 

@@ -15,9 +15,17 @@ from gridmere.functions.text import code_key, label_flags, matches_code
 from gridmere.operators.tables import not_null
 
 
-def read_text_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A CSV with a header, every column a string."""
-    return spark.read.option("header", True).option("multiLine", False).csv(path)
+def read_text_table(
+    spark: SparkSession, path: str | list[str], line_breaks: bool = False
+) -> DataFrame:
+    """
+    A CSV with a header, every column a string; quotes inside quoted fields are doubled.
+
+    With `line_breaks`, quoted fields may hold them. Such files can't be split between tasks, so
+    it is a choice of the source: many small files are fine, a single large one is not.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks)
+    return reader.csv(path)
 
 
 def type_columns(
@@ -41,14 +49,14 @@ def type_listings(raw: DataFrame, flags: Mapping[str, str] = fixed.LABEL_FLAGS)
     return df
 
 
-def read_listings(spark: SparkSession, path: str) -> DataFrame:
-    return type_listings(read_text_table(spark, path))
+def read_listings(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    return type_listings(read_text_table(spark, path, line_breaks))
 
 
-def read_master(spark: SparkSession, path: str) -> DataFrame:
+def read_master(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """The master table: codes stay text, measures are numbers, dates are dates."""
     return type_columns(
-        read_text_table(spark, path), fixed.MASTER_NUMBERS, fixed.MASTER_DATES, fixed.MASTER_CODES
+        read_text_table(spark, path, line_breaks), fixed.MASTER_NUMBERS, fixed.MASTER_DATES, fixed.MASTER_CODES
     )
 
 
@@ -173,7 +181,7 @@ def write_table(
     out = df.orderBy(*order_by) if order_by else df
     writer = out.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -9,10 +9,47 @@ from gridmere.operators import correlation as R
 from gridmere.operators import models as M
 
 
+def test_exact_medians(spark):
+    import numpy as np
+
+    from gridmere.operators import models as M
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 4, 999, 5000):
+        a, b = rng.normal(size=n), rng.integers(0, 4, n).astype(float)
+        rows = [(float(x), float(y) if i % 3 else None, None) for i, (x, y) in enumerate(zip(a, b))]
+        df = spark.createDataFrame(rows, "a double, b double, c double")
+        got = M.exact_medians(df, ["a", "b", "c"])
+        some = [y for i, y in enumerate(b) if i % 3]
+        want = {"a": np.median(a)} | ({"b": np.median(some)} if some else {})
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    df = spark.createDataFrame([(1.0,), (2.0,), (10.0,), (20.0,), (None,)], "x double")
+    assert sorted(r["x"] for r in M.fill_medians(df, ["x"]).collect()) == [1.0, 2.0, 6.0, 10.0, 20.0]
+
+
+def test_correlation_plan_does_not_grow(spark):
+    import numpy as np
+    import pandas as pd
+
+    from gridmere.operators import correlation as R
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 120))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 3.0
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(120)])
+    rows = [[None if np.isnan(v) else float(v) for v in r] for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in pdf.columns))
+    want = pdf.corr().abs()
+    for r in R.pearson_pairs(df, list(pdf.columns)).collect():
+        expected = want.loc[r["a"], r["b"]]
+        assert (r["r"] is None) if np.isnan(expected) else abs(r["r"] - expected) < 1e-9
+
+
 def test_vintages_and_preference():
     cols = ["erp_2024", "erp_2025", "erp_change_number_2024_25", "tax_income_earners_2021_22", "tax_income_earners_2022_23"]
     assert K.superseded_vintages(cols) == {"erp_2024": "erp_2025", "tax_income_earners_2021_22": "tax_income_earners_2022_23"}
-    assert sorted(["zzz", "census_a", "x_2022_23", "erp_2025"], key=K.preference) == ["erp_2025", "x_2022_23", "census_a", "zzz"]
+    assert K.in_order_of_preference(["zzz", "census_a", "x_2022_23", "erp_2025"]) == ["erp_2025", "x_2022_23", "census_a", "zzz"]
 
 
 def test_correlation_keeps_the_preferred_column(spark):

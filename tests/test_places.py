@@ -19,6 +19,18 @@ def km(*x):
     return 2 * R * math.asin(math.sqrt(min(1, hav(*x))))
 
 
+def test_boundary_points_are_outside(spark):
+    corners = [(0, 0.0, 0.0), (1, 0.0, 1.0), (2, 1.0, 1.0), (3, 1.0, 0.0)]
+    rows = [(k, s, la, lo + k) for k in (0, 1) for s, la, lo in corners]  # two squares share an edge
+    areas = polygons.edges_from_vertices(
+        spark.createDataFrame(rows, "id int, seq int, lat double, lon double"), "id", "seq"
+    )
+    on_edge = [(0.5, 0.0), (0.5, 1.0), (0.0, 0.5), (1.0, 0.25), (0.0, 0.0), (1.0, 1.0), (1.0, 2.0), (0.75, 2.0)]
+    spots = points(spark, [(i, a, b) for i, (a, b) in enumerate([*on_edge, (0.5, 0.5), (0.5, 1.5), (2.0, 0.5)])])
+    got = {r["fid"]: r["id"] for r in polygons.with_containing_area(spots, areas, "id").collect()}
+    assert got == {i: None for i in range(8)} | {8: 0, 9: 1, 10: None}
+
+
 def points(spark, rows, cols="fid long, lat double, lon double"):
     return spark.createDataFrame(rows, cols)
 

@@ -43,6 +43,36 @@ def test_amenity_files(spark, tmp_path):
     assert rows == [("bar_pub", 1.0, 2.0), ("bar_pub", 3.0, 4.0)]
 
 
+def test_standard_quoting_both_ways(spark, tmp_path):
+    import pandas as pd
+
+    rows = [("1", 'Flat "A", 3 High St', "X"), ("2", 'say ""hi""', "b,c"), ("3", "back\\slash", '"')]
+    pdf = pd.DataFrame(rows, columns=["listing_id", "address", "suburb"])
+    pdf.to_csv(tmp_path / "in.csv", index=False)
+    read = T.read_text_table(spark, str(tmp_path / "in.csv"))
+    assert sorted(tuple(r) for r in read.collect()) == rows
+    T.write_table(read.coalesce(1), str(tmp_path / "out"), "csv")
+    back = pd.concat(pd.read_csv(p, dtype=str) for p in (tmp_path / "out").glob("part-*.csv"))
+    assert sorted(map(tuple, back.to_numpy().tolist())) == rows
+
+
+def test_quoted_line_breaks_by_choice(spark, tmp_path):
+    (tmp_path / "b.csv").write_text('listing_id,address\n1,"Unit 2\n5 Low St"\n2,"He said ""no"""\n')
+    read = T.read_text_table(spark, str(tmp_path / "b.csv"), line_breaks=True)
+    assert sorted(tuple(r) for r in read.collect()) == [("1", "Unit 2\n5 Low St"), ("2", 'He said "no"')]
+
+
+def test_number_grammar(spark):
+    from pyspark.sql import functions as F
+
+    from gridmere.functions.numbers import to_number
+
+    texts = ["5d", "7f", "1.5", " -2e3 ", ".5", "5.", "NaN", "Infinity", "0x1p3", "", "1,000", None, "1e999"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["v"] for r in df.select("t", to_number(F.col("t")).alias("v")).collect()}
+    assert {t: v for t, v in got.items() if v is not None} == {"1.5": 1.5, " -2e3 ": -2000.0, ".5": 0.5, "5.": 5.0}
+
+
 def test_grid_with_two_header_rows(spark):
     body = spark.createDataFrame([("206", "1,234", "np", "40.5")], "k string, c1 string, c2 string, c3 string")
     header = [("c1", "Earners (persons)", "2020-21"), ("c2", None, "2021-22"), ("c3", "Median age of earners", "2020-21")]
