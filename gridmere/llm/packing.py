@@ -142,7 +142,8 @@ def pack_pieces(
     Every piece with its sequence_id and its offset there (gapless from 0), as few sequences
     as the rounds reach. Repeated rows are packed each; an empty table gives no rows. Rows
     are dealt round by round without a key, so equal or frequent ids cannot crowd one
-    partition, and a partition never holds many more than `pieces_per_task` pieces.
+    partition. A partition holds about `pieces_per_task` pieces, twice as many in each
+    round after the first.
     """
     todo = materialise(pieces, "pieces")
     full = F.col("length") == capacity
@@ -157,7 +158,7 @@ def pack_pieces(
         n = todo.count()
         if not n:
             break
-        dealt = todo.repartition(-(-n // pieces_per_task))
+        dealt = todo.repartition(-(-n // (pieces_per_task << number - 1)))
         placed = materialise(_pack_round(dealt, capacity, number, number == rounds), "packed")
         done.append(placed.where(~F.col("given_up")).drop("given_up"))
         todo = placed.where("given_up").drop("given_up", "sequence_id", "offset")
