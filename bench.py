@@ -19,7 +19,7 @@ HEADLINE = [
     "point_in_polygon", "area_point_counts", "smallest_lot", "merged_stops", "best_routes",
     "correspondence", "weighted_crosswalk", "release_rescale", "monthly_trend", "yearly_trend",
     "incident_rates", "dense_panel", "keep_latest_copies", "last_values", "share_of_total",
-    "label_flags", "pearson_matrix", "clean_listings", "listing_csv_scan",
+    "label_flags", "pearson_matrix", "wide_pearson_matrix", "master_table", "clean_listings", "listing_csv_scan",
 ]
 
 

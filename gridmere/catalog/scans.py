@@ -161,15 +161,16 @@ def embedded_series(spark, sf):
     return J.embedded_series(shaped(spark, sf, PAGES_SERIES), "page_id", "html", ["v"])
 
 
-_GRID_SQL = """WITH t AS (SELECT c_nationkey AS k, CAST(year(o_orderdate) AS INT) AS y, count(*) AS n, round(sum(o_totalprice), 2) AS s
-    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
+_GRID_SQL = """WITH g AS (SELECT c_nationkey AS k, CAST(year(o_orderdate) AS INT) AS y, count(*) AS n, round(sum(o_totalprice), 2) AS s
+    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+  t AS (SELECT k, y, coalesce(n, 0) AS n, s FROM (SELECT DISTINCT k FROM g) a CROSS JOIN (SELECT DISTINCT y FROM g) b LEFT JOIN g USING (k, y))"""
 
 
 @query(
     "two_row_header_grid",
     f"""{_GRID_SQL} SELECT k, concat(y, '-', lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0')) AS financial_year, 'income_earners' AS measure,
-    CASE WHEN n % 5 = 0 THEN NULL ELSE CAST(n AS DOUBLE) END AS value FROM t WHERE y BETWEEN 1996 AND 1998
-  UNION ALL SELECT k, concat(y, '-', lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0')), 'income_sum', s FROM t WHERE y BETWEEN 1996 AND 1998""",
+    CASE WHEN n % 5 = 0 THEN NULL ELSE CAST(n AS DOUBLE) END AS value FROM t
+  UNION ALL SELECT k, concat(y, '-', lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0')), 'income_sum', s FROM t""",
 )
 def two_row_header_grid(spark, sf):
     t = (
@@ -177,7 +178,8 @@ def two_row_header_grid(spark, sf):
         .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .groupBy(F.col("c_nationkey").alias("k"))
     )
-    years = [1996, 1997, 1998]
+    years = list(range(1995, 2002))
+    n = len(years)
 
     def with_commas(text, end):
         return F.regexp_replace(text, rf"(?<=\d)(?=(\d{{3}})+{end})", ",")
@@ -192,10 +194,11 @@ def two_row_header_grid(spark, sf):
     body = wide.select(
         "k",
         *[F.when(F.col(f"n{y}") % 5 == 0, "np").otherwise(with_commas(F.col(f"n{y}").cast("string"), "$")).alias(f"c{i}") for i, y in enumerate(years)],
-        *[with_commas(F.col(f"s{y}").cast("decimal(18,2)").cast("string"), r"\.").alias(f"c{i + 3}") for i, y in enumerate(years)],
+        *[with_commas(F.col(f"s{y}").cast("decimal(18,2)").cast("string"), r"\.").alias(f"c{i + n}") for i, y in enumerate(years)],
     )
     labels = [f"{y}-{(y + 1) % 100:02d}" for y in years]
-    header = [(f"c{i}", ["Earners (persons)", None, None, "Sum ($)", None, None][i], labels[i % 3]) for i in range(6)]
+    titles = {0: "Earners (persons)", n: "Sum ($)"}
+    header = [(f"c{i}", titles.get(i), labels[i % n]) for i in range(2 * n)]
     return T.grid_to_long(body, "k", header)
 
 
