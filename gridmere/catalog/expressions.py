@@ -173,8 +173,9 @@ def flags_sql(raw: str, patterns=fixed.LABEL_FLAGS) -> str:
 )
 def label_flags(spark, sf):
     extra = {"brand_1": "^brand#1$", "standard": "standard|small", "metal": "(?:steel|brass|tin)$"}
-    raw = F.col("raw")
-    return shaped(spark, sf, LABELS_TEXT).select("id", *X.label_flags(raw), *X.label_flags(raw, extra))
+    labels = F.col("labels")
+    df = shaped(spark, sf, LABELS_TEXT).select("id", X.labels_of(F.col("raw")).alias("labels"))
+    return df.select("id", *X.label_flags(labels), *X.label_flags(labels, extra))
 
 
 @query(

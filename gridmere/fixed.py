@@ -236,3 +236,20 @@ OTHER_FEATURES = ["days_listed"]
 
 BAD_LISTINGS = ["17727626", "17721987", "17722092", "17727546"]
 RIDGE_ALPHAS = (-3.0, 4.0, 150)  # log10 of the ends, number of points
+
+# --- stacked model ----------------------------------------------------------
+
+STACK_INTERNAL = [
+    "bedrooms", "bathrooms", "carspaces", "property_type", "carspaces_missing", "bedrooms_missing",
+    "bathrooms_missing", "listed_month", "available_month",
+]
+STACK_CATEGORIES = [
+    "suburb", "postcode", "property_type", "listed_month", "available_month", "sa2_name_2021",
+    "sa3_name_2021", "sa4_name_2021", "gccsa_name_2021",
+]
+STACK_IDENTIFIERS = ["listing_id", "sa2_code_2021", "sa3_code_2021", "sa4_code_2021", "gccsa_code_2021"]
+STACK_NOT_USED = [
+    "address", "address_key", "lat", "lon", "primary_type", "secondary_type", "structured_features", "url",
+    "irsad_score", "irsd_score", "ier_score", "ieo_score", "ieo_aus_decile", "irsd_aus_decile",
+    "irsad_aus_decile", "ier_aus_decile", "rent_outlier_high",
+]

@@ -49,18 +49,22 @@ def station_name(c: Column, pattern: str = fixed.STATION_NAME) -> Column:
     return F.nullif(F.trim(F.regexp_extract(c, pattern, 1)), F.lit(""))
 
 
+def labels_of(raw: Column) -> Column:
+    """The lower-cased labels of a comma-separated list."""
+    return F.transform(F.split(raw, r",\s*"), lambda t: F.lower(F.trim(t)))
+
+
 def label_flags(
-    raw: Column, patterns: Mapping[str, str] = fixed.LABEL_FLAGS, prefix: str = "feat_"
+    labels: Column, patterns: Mapping[str, str] = fixed.LABEL_FLAGS, prefix: str = "feat_"
 ) -> list[Column]:
     """
-    One 0/1 flag per pattern over a comma-separated label list. No list at all
-    gives null, not 0.
+    One 0/1 flag per pattern over an array of labels (`labels_of`), best a column of its own, as
+    every flag looks at it. No list at all gives null, not 0.
     """
-    labels = F.transform(F.split(raw, r",\s*"), lambda t: F.lower(F.trim(t)))
 
     def flag(pattern: str) -> Column:
         hit = F.exists(labels, lambda t: t.rlike(pattern))
-        return F.when(raw.isNotNull(), hit.cast("int"))
+        return F.when(labels.isNotNull(), hit.cast("int"))
 
     return [flag(p).alias(prefix + name) for name, p in patterns.items()]
 

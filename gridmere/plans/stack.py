@@ -15,21 +15,6 @@ from gridmere.operators.columns import split_by_type
 from gridmere.operators.correlation import spearman_pairs
 from gridmere.operators.tables import exclude_listed, union_all
 
-INTERNAL = [
-    "bedrooms", "bathrooms", "carspaces", "property_type", "carspaces_missing", "bedrooms_missing",
-    "bathrooms_missing", "listed_month", "available_month",
-]
-CATEGORIES = [
-    "suburb", "postcode", "property_type", "listed_month", "available_month", "sa2_name_2021",
-    "sa3_name_2021", "sa4_name_2021", "gccsa_name_2021",
-]
-IDENTIFIERS = ["listing_id", "sa2_code_2021", "sa3_code_2021", "sa4_code_2021", "gccsa_code_2021"]
-NOT_USED = [
-    "address", "address_key", "lat", "lon", "primary_type", "secondary_type", "structured_features", "url",
-    "irsad_score", "irsd_score", "ier_score", "ieo_score", "ieo_aus_decile", "irsd_aus_decile",
-    "irsad_aus_decile", "ier_aus_decile", "rent_outlier_high",
-]
-
 
 def model_table(clean: DataFrame, bad: Sequence[str] = tuple(fixed.BAD_LISTINGS)) -> DataFrame:
     """
@@ -37,7 +22,7 @@ def model_table(clean: DataFrame, bad: Sequence[str] = tuple(fixed.BAD_LISTINGS)
     and unused columns dropped where present, known bad listings left out.
     """
     df = exclude_listed(
-        clean.drop(*fixed.TARGET_DERIVED, *NOT_USED).withColumn("listing_id", F.col("listing_id").cast("string")),
+        clean.drop(*fixed.TARGET_DERIVED, *fixed.STACK_NOT_USED).withColumn("listing_id", F.col("listing_id").cast("string")),
         "listing_id", list(bad),
     )
     months = {"date_listed": "listed_month", "available_date": "available_month"}
@@ -50,7 +35,7 @@ def model_table(clean: DataFrame, bad: Sequence[str] = tuple(fixed.BAD_LISTINGS)
 
 def redundant_pairs(df: DataFrame, limit: float = fixed.CORRELATION_LIMIT) -> DataFrame:
     """Numeric column pairs with a rank correlation of at least the limit, either way."""
-    skip = {*IDENTIFIERS, *CATEGORIES, fixed.TARGET}
+    skip = {*fixed.STACK_IDENTIFIERS, *fixed.STACK_CATEGORIES, fixed.TARGET}
     numeric, _, _ = split_by_type(df, [c for c in df.columns if c not in skip], [])
     return spearman_pairs(df, numeric, "listing_id").where(F.abs("r") >= limit)
 
@@ -66,9 +51,9 @@ def fit_stack(
     group for a plain random split.
     """
     label = fixed.TARGET
-    internal = [c for c in INTERNAL if c in df.columns]
-    external = [c for c in df.columns if c not in {*INTERNAL, *IDENTIFIERS, label}]
-    cats = [c for c in CATEGORIES if c in df.columns]
+    internal = [c for c in fixed.STACK_INTERNAL if c in df.columns]
+    external = [c for c in df.columns if c not in {*fixed.STACK_INTERNAL, *fixed.STACK_IDENTIFIERS, label}]
+    cats = [c for c in fixed.STACK_CATEGORIES if c in df.columns]
     # Categories are text; a missing one takes the commonest value of the training rows.
     df = df.withColumns({c: F.col(c).cast("string") for c in cats})
     train, test = M.train_test(df, group)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridmere import fixed
 from gridmere.functions.dates import to_day
 from gridmere.functions.numbers import number_or_null_zero, to_number
-from gridmere.functions.text import code_key, label_flags, matches_code
+from gridmere.functions.text import code_key, label_flags, labels_of, matches_code
 from gridmere.operators.tables import not_null
 
 
@@ -45,6 +45,7 @@ def type_listings(raw: DataFrame, flags: Mapping[str, str] = fixed.LABEL_FLAGS)
     if "postcode" in df.columns:
         df = df.withColumn("postcode", F.col("postcode").try_cast("double").try_cast("long"))
     if "structured_features" in df.columns:
+        df = df.withColumn("structured_features", labels_of(F.col("structured_features")))
         df = df.select("*", *label_flags(F.col("structured_features"), flags)).drop("structured_features")
     return df
 

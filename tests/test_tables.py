@@ -28,9 +28,9 @@ def test_text(spark):
     assert one(spark, X.name_hint(F.lit("Hillside (East Gippsland - Vic.)")), X.name_hint(F.lit("Ascot"))) == ("EAST GIPPSLAND", "")
     names = ["Flinders Street Station", "Ballan Railway Station (Ballan)", "Lift", None]
     assert one(spark, *[X.station_name(F.lit(n).cast("string")) for n in names]) == ("Flinders Street", "Ballan", None, None)
-    flags = X.label_flags(F.lit("Gymnasium, Study,  Pool"), {"gym": r"\bgym\b", "study": "study", "pool": "^pool$"})
+    flags = X.label_flags(X.labels_of(F.lit("Gymnasium, Study,  Pool")), {"gym": r"\bgym\b", "study": "study", "pool": "^pool$"})
     assert one(spark, *flags) == (0, 1, 1)
-    assert one(spark, *X.label_flags(F.lit(None).cast("string"), {"gym": "gym"})) == (None,)
+    assert one(spark, *X.label_flags(X.labels_of(F.lit(None).cast("string")), {"gym": "gym"})) == (None,)
 
 
 def test_dates(spark):
