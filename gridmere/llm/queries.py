@@ -50,12 +50,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = table(spark, sf_dir).select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
-    )
-    return shards.shuffle_into_shards(rows).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("__shard").alias("shard"),
-        F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    return shards.shuffle_into_shards(table(spark, sf_dir)).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

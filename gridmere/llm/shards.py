@@ -157,7 +157,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 7) -> Dat
     Rows are dealt to groups by a hash of a row number that is written out once, so
     that a retried task deals them alike.
     """
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows", "zstd")
     n = rows.count()
     levels = max(6, math.ceil(math.log2(max(1, n) / _ROWS_PER_GROUP)))
     sizes = [n // shards + (s < n % shards) for s in range(shards)]

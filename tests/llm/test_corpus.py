@@ -282,6 +282,23 @@ def test_shards_differ_by_one_row_and_slots_have_no_gap(odd_docs, odd_rows, no_d
     assert shards.shuffle_into_shards(no_docs).count() == 0
 
 
+def test_written_shards_hold_whole_documents(odd_docs, odd_rows, spark, tmp_path):
+    shards.write_shards(odd_docs, str(tmp_path / "shards"), 4)
+    rows = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "text", "print")) for r in rows) == Counter(odd_rows)
+    assert sorted(r["__slot"] for r in rows if r["__shard"] == 0) == list(range(-(-len(odd_rows) // 4)))
+
+
+def test_the_sharding_query_shuffles_texts(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(shards, "shuffle_into_shards", lambda docs, f=shards.shuffle_into_shards: (seen.append(docs.columns), f(docs))[1])
+    got = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in QUERIES["op7_sharding"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert seen == [docs.columns]
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    assert got == {d: (len(t) + 1, zlib.crc32(t)) for d, t in texts.items()}
+
+
 def test_license_texts_are_found_in_any_dress(spark, odd_docs, no_docs):
     mit = licences.KNOWN[0][1]
     dressed = re.sub(r"Copyright .*", "COPYRIGHT 1999-2004 Some Body", mit).upper().replace(",", " ;").replace(" ", "  ")
