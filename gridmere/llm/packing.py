@@ -7,25 +7,27 @@ and bound agree, no other packing of the partition is smaller; it only gives up
 filled sequence, as all partitions together can still save on their last ones. Where they
 differ, it gives up every sequence that is not full. Documents given up are dealt anew to
 fewer partitions, which mixes those of different partitions, and packed again.
+
+Only lengths are packed. The ids of the pieces are written once beside them, and joined to
+their places afterwards, so that whole sequences are written and read back.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmere.llm.common import per_batch, texts
 from gridmere.llm.encoder import encoder
 from gridmere.session import materialise
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PLACED = _PIECES + ", sequence_id long, offset long, given_up boolean"
+_PIECES = "doc_id long, piece int, start long, length long, ids binary"
+_ID_BYTES = 4
 _SEQUENCE_BITS, _PARTITION_BITS = 28, 24
 
 
@@ -36,7 +38,8 @@ def token_pieces(
     """
     The pieces of every document: its ids and `end_id`, cut from the back into pieces of
     `capacity` ids if there are more, so that only the first piece may be shorter. Null texts
-    are empty and give one piece with the end id alone.
+    are empty and give one piece with the end id alone. The ids are unsigned, of four bytes each,
+    the least first.
     """
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -48,10 +51,10 @@ def token_pieces(
             first = len(ids) % capacity or capacity
             cuts = [0, *range(first, len(ids) + 1, capacity)]
             rows += [
-                (d, i, a, b - a, zlib.crc32(ids[a:b].tobytes()))
+                (d, i, a, b - a, ids[a:b].tobytes())
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
             ]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         names = [c.split()[0] for c in _PIECES.split(", ")]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names
@@ -132,7 +135,8 @@ def _pack_round(pieces: DataFrame, capacity: int, number: int, last: bool) -> Da
         made = made.append_column("offset", pa.array(offset, pa.int64()))
         yield from made.append_column("given_up", pa.array(loose[where])).to_batches(10_000)
 
-    return pieces.mapInArrow(pack, _PLACED)
+    own = ", ".join(f"`{c}` {kind}" for c, kind in pieces.dtypes)
+    return pieces.mapInArrow(pack, f"{own}, sequence_id long, offset long, given_up boolean")
 
 
 def pack_pieces(
@@ -177,8 +181,68 @@ def packing_report(placed: DataFrame, capacity: int = 2048) -> dict[str, int]:
     return {"sequences": used, "bound": sequence_bound(counts, capacity)}
 
 
+def pack_sequences(
+    pieces: DataFrame, capacity: int = 2048, rounds: int = 3, pieces_per_task: int = 50_000
+) -> DataFrame:
+    """
+    (sequence_id, ids, pieces): the sequences that `token_pieces` are packed into, each with all
+    its ids, and what lies in it as structs (offset, doc_id, piece, start, length) in the order of
+    their offsets. Pieces are told apart by a row number that is written out with their ids, so
+    repeated rows are in the sequences as often. Whole pieces of `capacity` ids are sequences as they are.
+    """
+    own = materialise(pieces.withColumn("row", F.monotonically_increasing_id()), "ids", "zstd")
+    full = F.col("length") == capacity
+    names = ["doc_id", "piece", "start", "length"]
+    alone = own.where(full).select(
+        (-1 - F.col("row")).alias("sequence_id"), "ids",
+        F.array(F.struct(F.lit(0).cast("long").alias("offset"), *names)).alias("pieces"),
+    )
+    placed = pack_pieces(own.where(~full).select("row", "length"), capacity, rounds, pieces_per_task)
+    parts = (
+        own.where(~full).join(placed.select("row", "sequence_id", "offset"), "row").groupBy("sequence_id")
+        .agg(F.sort_array(F.collect_list(F.struct("offset", *names, "ids"))).alias("parts"))
+    )
+    shared = parts.select(
+        "sequence_id",
+        F.aggregate("parts", F.lit(b""), lambda ids, part: F.concat(ids, part["ids"])).alias("ids"),
+        F.transform("parts", lambda part: F.struct(*[part[c].alias(c) for c in ("offset", *names)])).alias("pieces"),
+    )
+    return alone.unionByName(shared)
+
+
+def write_sequences(
+    docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048, path: str | None = None
+) -> DataFrame:
+    """
+    Tokenizes and packs whole documents and writes the sequences, to `path` or else to a stage
+    table; gives what was written. See `token_pieces` and `pack_sequences`.
+    """
+    made = pack_sequences(token_pieces(docs, vocabulary, end_id, capacity), capacity)
+    if path is None:
+        return materialise(made, "sequences", "zstd")
+    made.write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def placed_pieces(sequences: DataFrame) -> DataFrame:
+    """The pieces of written sequences with the checksum of the ids that lie at their offsets."""
+
+    def read(part: Column) -> Column:
+        at = (part["offset"] * _ID_BYTES + 1).cast("int")
+        ids = F.substring("ids", at, (part["length"] * _ID_BYTES).cast("int"))
+        return F.struct(
+            *[part[c].alias(c) for c in ("doc_id", "piece", "start", "length")],
+            F.crc32(ids).alias("ids_crc32"), part["offset"].alias("offset"),
+        )
+
+    found = sequences.select("sequence_id", F.explode(F.transform("pieces", read)).alias("x"))
+    return found.select(
+        "x.doc_id", "x.piece", "x.start", "x.length", "x.ids_crc32", "sequence_id", "x.offset"
+    )
+
+
 def pack_documents(
     docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048
 ) -> DataFrame:
-    """Tokenizes and packs whole documents; see `token_pieces` and `pack_pieces`."""
-    return pack_pieces(token_pieces(docs, vocabulary, end_id, capacity), capacity)
+    """The pieces of whole documents, as they lie in the sequences of `write_sequences`."""
+    return placed_pieces(write_sequences(docs, vocabulary, end_id, capacity))
