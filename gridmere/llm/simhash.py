@@ -272,13 +272,18 @@ def near_duplicates(
 
 
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with the least doc_id of each group of near fingerprints; see `keep_least`."""
+    return keep_least(docs, materialise(near_duplicates(docs, doc_id=doc_id, text=text), "groups"), doc_id)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """
-    `docs`, all columns as they are, with the least doc_id of each group of near duplicates.
+    `docs`, all columns as they are, with the least doc_id of each group of near duplicates, given
+    as (doc_id, component_id) with one row per row of `docs`.
 
     Of rows that repeat a doc_id one stays. Rows without a doc_id link others but can't be
     named, so they stay.
     """
-    found = materialise(near_duplicates(docs, doc_id=doc_id, text=text), "groups")
     others = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id))
     left = docs.join(others.distinct(), doc_id, "left_anti")
     repeated = materialise(

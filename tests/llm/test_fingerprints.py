@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,8 @@ import pytest
 import xxhash
 from samples import prose, words
 
-from gridmere.llm import lines, passages, simhash
+import corpus_pipeline
+from gridmere.llm import lines, near_copies, passages, simhash
 from gridmere.llm.cuckoo import CuckooFilter
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -204,3 +206,43 @@ def test_passages_are_found_and_clean_texts_are_not(spark, no_docs, odd_docs):
         assert abs(len(a & b) / len(a | b) - r["similarity"]) < 1e-9 and r["similarity"] >= 0.8
     assert passages.near_passages(no_docs).count() == 0
     assert {(r["doc_id"], r["other_id"]) for r in passages.near_passages(odd_docs).collect()} == {(2, 1)}
+
+
+def test_near_copies_match_brute_force(spark, odd_docs, no_docs):
+    rng, rows = random.Random(5), []
+    for group in range(12):
+        base = words(300, 900 + group)
+        for i in range(10):
+            own = base.copy()
+            for at in rng.sample(range(300), rng.randint(0, 9)):
+                own[at] = f"other{rng.random()}"
+            rows.append((100 * group + i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(296)} for d, t in rows}
+    want = {d: d for d in sets}
+    close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in close:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    assert got == want and len(set(want.values())) < len(rows)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(want.values())
+    assert near_copies.near_copies(no_docs).count() == 0
+    odd = near_copies.one_of_each(odd_docs)
+    assert odd.columns == odd_docs.columns
+    assert sorted(r["doc_id"] for r in odd.where("doc_id IS NOT NULL").collect()) == [1, 3, 6, 8, 9, 10]
+
+
+def test_bands_recall_at_the_limit():
+    met = 0
+    for i in range(300):
+        a = words(300, 5000 + i)
+        own = [f"{w}{k}" for k, w in enumerate(a)]
+        other = own.copy()
+        for at in range(20, 260, 42):
+            other[at] = "changed"
+        one, two = near_copies.shingles(" ".join(own)), near_copies.shingles(" ".join(other))
+        assert 0.8 <= near_copies.jaccard(one, two) < 0.83
+        met += bool((near_copies.bands(one) == near_copies.bands(two)).any())
+    assert met >= 298
