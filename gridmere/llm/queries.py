@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmere.llm import contamination, licences, lines, passages, quality, shards, simhash, toxicity
+from gridmere.llm import contamination, licences, lines, negatives, passages, quality, shards, simhash, toxicity
 from gridmere.llm.packing import pack_documents
 from gridmere.llm.token_files import token_rows
 
@@ -72,17 +72,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir), BYTE_BPE)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabel = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(
+        table(spark, sf_dir, "embeddings"), is_anchor=F.col("id") % 100 == 0, relabel=relabel
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_license_scan, op3_quality_rules, op4_benchmark_decontamination,
         op5_toxicity, op6_substring_dedup, op7_sharding, op8_token_files, op9_line_dedup, op10_best_fit_packing,
+        op12_hard_negatives,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": licences.oracle_sql(),
     "op3_quality_rules": quality.oracle_sql(),
+    "op12_hard_negatives": negatives.oracle_sql(),
     "op9_line_dedup": r"""
         WITH split AS (
             SELECT doc_id, i AS line_no, lines[i] AS line,
