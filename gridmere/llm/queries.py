@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gridmere.llm import contamination, licences, lines, negatives, passages, quality, shards, simhash, toxicity
 from gridmere.llm.packing import pack_documents
+from gridmere.llm.prefix_trie import oracle_sql as prefix_trie_sql
+from gridmere.llm.prefix_trie import prefix_trie
 from gridmere.llm.token_files import token_rows
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,6 +74,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir), BYTE_BPE)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     relabel = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(
@@ -84,13 +90,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_simhash_near_dedup, op2_license_scan, op3_quality_rules, op4_benchmark_decontamination,
         op5_toxicity, op6_substring_dedup, op7_sharding, op8_token_files, op9_line_dedup, op10_best_fit_packing,
-        op12_hard_negatives,
+        op11_prefix_trie, op12_hard_negatives,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": licences.oracle_sql(),
     "op3_quality_rules": quality.oracle_sql(),
+    "op11_prefix_trie": prefix_trie_sql(),
     "op12_hard_negatives": negatives.oracle_sql(),
     "op9_line_dedup": r"""
         WITH split AS (
