@@ -12,6 +12,7 @@ from gridmere.llm import contamination, licences, lines, negatives, passages, qu
 from gridmere.llm.packing import pack_documents
 from gridmere.llm.prefix_trie import oracle_sql as prefix_trie_sql
 from gridmere.llm.prefix_trie import prefix_trie
+from gridmere.llm.suffix_arrays import repeated_strings
 from gridmere.llm.token_files import token_rows
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -85,12 +86,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(table(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_license_scan, op3_quality_rules, op4_benchmark_decontamination,
         op5_toxicity, op6_substring_dedup, op7_sharding, op8_token_files, op9_line_dedup, op10_best_fit_packing,
-        op11_prefix_trie, op12_hard_negatives,
+        op11_prefix_trie, op12_hard_negatives, op13_suffix_array_dedup,
     )
 }
 
