@@ -187,7 +187,7 @@ def _cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _analyse(pieces: list[tuple[int, bytes]], window: int) -> dict[str, np.ndarray]:
     """
-    Repeats within a shard and its anchors. A piece is (its place in the payload, bytes); all
+    The repeats in pieces of a shard and their anchors. A piece is (its place in the payload, bytes); all
     fit into one suffix array together. Places are those of the payload.
     """
     starts, bounds, parts, n = [], [], [], 0
@@ -213,19 +213,12 @@ def _analyse(pieces: list[tuple[int, bytes]], window: int) -> dict[str, np.ndarr
 
     chosen, hashes = find_anchors(text, valid, _ANCHORS[0], window)
     x = np.flatnonzero(chosen)
-    of = np.searchsorted(bounds[:, 0], x, "right") - 1
-    around = surroundings(text, x, bounds[of, 0], bounds[of, 1], _ANCHORS[0], window)
-    keys = np.stack([hashes[x], _row_hashes(around)], axis=1)
-    _, first, count = np.unique(keys, axis=0, return_index=True, return_counts=True)
 
     def outside(y: np.ndarray) -> np.ndarray:
         of = np.searchsorted(bounds[:, 0], y, "right") - 1
         return y - bounds[of, 0] + starts[of]
 
-    return {
-        "begin": outside(begin), "end": outside(end - 1) + 1, "h": keys[first, 0].view("i8"), "g": keys[first, 1].view("i8"),
-        "pos": outside(x[first]), "n": count,
-    }
+    return {"begin": outside(begin), "end": outside(end - 1) + 1, "h": hashes[x].view("i8"), "pos": outside(x)}
 
 
 _SHARD_SCHEMA = (
@@ -252,8 +245,18 @@ def _packed(docs: DataFrame, window: int) -> DataFrame:
                 room -= len(piece) + 1
             at += len(text)
         found = [_analyse(g, window) for g in groups if g]
-        made = {c: np.concatenate([f[c] for f in found]) if found else np.zeros(0, "i8") for c in ("begin", "end", "h", "g", "pos", "n")}
-        whole = zstandard.ZstdCompressor(level=3).compress(b"".join(docs))
+        made = {c: np.concatenate([np.zeros(0, "i8"), *[f[c] for f in found]]) for c in ("begin", "end", "h", "pos")}
+        whole = b"".join(docs)
+        pos, first = np.unique(made["pos"], return_index=True)  # pieces of a long text overlap
+        edges = np.cumsum([0, *map(len, docs)])
+        of = np.searchsorted(edges, pos, "right") - 1
+        around = surroundings(np.frombuffer(whole, "u1"), pos, edges[of], edges[of + 1], _ANCHORS[0], window)
+        keys = np.stack([made["h"][first], _row_hashes(around).view("i8")], axis=1)
+        _, first, count = np.unique(keys, axis=0, return_index=True, return_counts=True)
+        made = {
+            "begin": made["begin"], "end": made["end"], "h": keys[first, 0], "g": keys[first, 1], "pos": pos[first], "n": count,
+        }
+        whole = zstandard.ZstdCompressor(level=3).compress(whole)
         return pa.RecordBatch.from_pydict({
             "shard": pa.array([number], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())),
             "lengths": pa.array([[len(d) for d in docs]], pa.list_(pa.int64())), "payload": pa.array([whole], pa.binary()),
