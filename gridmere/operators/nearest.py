@@ -1,127 +1,149 @@
 """
-k nearest points, exactly, from equi-joins on cells.
+k nearest points, exactly, from an adaptive tree of cells and equi-joins.
 
 The search runs over distinct positions, so any number of rows at one address
 costs one search; rows get their answer back through an equi-join. No pair is
 formed between a position and a point that could not be among its k nearest:
 
-1. right points are counted in cells of many sizes; a count is also held for the
-   3x3 block around each cell;
-2. left positions are grouped by their finest cell ("home"). For each home the
-   smallest block holding at least k points bounds the distance of the k-th
-   neighbour of every position in it;
-3. cells that this bound reaches are tested again, box against box: the k-th
-   smallest upper bound among them replaces the bound, and cells whose lower
-   bound is above it are dropped. So a dense cluster far away contributes its
-   near cells only;
-4. positions meet the points of the remaining cells and keep the k nearest.
-
-The smallest cells are about 150 m, and smaller where the points are so dense that one of
-those would hold thousands of them.
+1. each right point is dealt to one leaf: a cell of about 2.4 km, or a smaller one if that
+   holds more than `LEAF` points. In the order of a Z curve, the cells that a point
+   shares with the point `LEAF` places on are those that have to be split, so one window
+   per 2.4 km cell finds all leaves. A leaf knows the limits of its points;
+2. leaves are counted in the cells above them, and in the 3x3 block around each of these. For
+   a position the smallest block with at least k points bounds the distance of the k-th;
+3. the frontier of a position starts with what this bound reaches, as cells four levels
+   below those of the block, and goes on with the leaves in the cells that stay. Each
+   time, the k-th smallest upper bound drops all whose lower bound is above it. A dense
+   city far away so contributes the leaves on its near side only;
+4. positions meet the points of the remaining leaves and keep the k nearest.
+
+All of it is one plan; nothing is measured while it is built.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmere.functions import sphere as S
 from gridmere.operators.tables import not_null
 
-FINEST = 18  # cells of about 150 m
-LIMIT = 26  # cells of about 60 cm
-CROWDED = 2000  # points in one cell
+BASE = 14  # cells of about 2.4 km
+FINEST = 26  # cells of about 60 cm
+LEAF = 16  # points of a leaf above the finest
+STEP = 4  # levels between a block and the first frontier
+_BOX = ["__south", "__north", "__west", "__east"]
 
 
-def finest_level(points: DataFrame, lat: str, lon: str) -> int:
-    """FINEST, or deeper by one level per factor of four that its fullest cell is crowded."""
-    cells = _cells_of(points, lat, lon, FINEST).groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("n"))
-    fullest = cells.agg(F.max("n")).first()[0] or 0
-    deeper = math.ceil(math.log(fullest / CROWDED, 4)) + 2 if fullest > CROWDED else 0
-    return min(LIMIT, FINEST + deeper)
+def _cell(level: Column | int) -> list[Column]:
+    """The cell at a level, from the cell numbers at the finest one."""
+    up = F.lit(FINEST) - level
+    return [S.coarser(F.col("__x"), up), S.coarser(F.col("__y"), up)]
 
 
-def _at_level(x, level, finest: int):
-    return S.coarser(x, F.lit(finest) - level)
+def _z_order() -> Column:
+    """The place of a finest cell on the Z curve through its 2.4 km cell."""
 
+    def spread(c: Column) -> Column:
+        c = c.bitwiseAND(F.lit((1 << (FINEST - BASE)) - 1))
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
 
-def _cells_of(points: DataFrame, lat: str, lon: str, finest: int) -> DataFrame:
-    return points.withColumns(
-        {"__x": S.cell_x(F.col(lon), finest), "__y": S.cell_y(F.col(lat), finest)}
-    )
+    return spread(F.col("__x")).bitwiseOR(F.shiftleft(spread(F.col("__y")), 1))
 
 
-def _every_level(df: DataFrame, finest: int) -> DataFrame:
-    levels = F.array(*[F.lit(v) for v in (0, *range(2, finest + 1))])
-    level = F.explode(levels).alias("__v")
-    out = df.select("*", level)
-    return out.withColumns(
-        {
-            "__cx": _at_level(F.col("__x"), F.col("__v"), finest),
-            "__cy": _at_level(F.col("__y"), F.col("__v"), finest),
-        }
+def with_leaves(points: DataFrame, lat: str, lon: str, by: list[str]) -> DataFrame:
+    """The points with their leaf: its level `__v` and cell `__cx`, `__cy`."""
+    x, y = S.cell_x(F.col(lon), FINEST), S.cell_y(F.col(lat), FINEST)
+    cells = points.withColumns({"__x": x, "__y": y})
+    cells = cells.withColumns({"__bx": _cell(BASE)[0], "__by": _cell(BASE)[1], "__z": _z_order()})
+    base = Window.partitionBy(*by, "__bx", "__by").orderBy("__z")
+    apart = F.col("__z").bitwiseXOR(F.lead("__z", LEAF).over(base))
+    bits = F.when(apart == 0, 0).otherwise(F.length(F.bin(apart)))
+    cells = cells.withColumn("__common", F.floor((2 * (FINEST - BASE) - bits) / 2))
+    split = F.max("__common").over(base.rowsBetween(-LEAF, 0))
+    level = F.least(F.lit(FINEST), F.coalesce(BASE + 2 * F.floor(split / 2 + 1), F.lit(BASE))).cast("int")
+    cells = cells.withColumn("__v", level)
+    return cells.withColumns({"__cx": _cell(F.col("__v"))[0], "__cy": _cell(F.col("__v"))[1]}).drop(
+        "__bx", "__by", "__z", "__common"
     )
 
 
-def _candidate_cells(homes: DataFrame, counts: DataFrame, by: list[str], k: int, finest: int) -> DataFrame:
-    """(home, category) -> cells that can hold one of the k nearest points."""
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    whole = F.array(F.lit(0))
-    blocks = (
-        counts.withColumn("__dx", F.explode(F.when(F.col("__v") == 0, whole).otherwise(step)))
-        .withColumn("__dy", F.explode(F.when(F.col("__v") == 0, whole).otherwise(step)))
+def _even(first: Column, last: Column) -> Column:
+    return F.explode(F.sequence(first, last, F.lit(2)))
+
+
+def _blocks(down: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Cells whose 3x3 block holds at least k points; the block of level 0 is everything."""
+    step, whole = F.array(F.lit(-1), F.lit(0), F.lit(1)), F.array(F.lit(0))
+    around = F.when(F.col("__l") == 0, whole).otherwise(step)
+    counts = down.where("__own = 0").groupBy(*by, "__l", "__ax", "__ay").agg(F.sum("__n").alias("__n"))
+    return (
+        counts.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
         .select(
-            *by, "__v",
-            F.pmod(F.col("__cx") + F.col("__dx"), S.cells_around(F.col("__v"))).cast("long").alias("__cx"),
-            (F.col("__cy") + F.col("__dy")).alias("__cy"),
-            "__n",
+            *by, "__l", F.pmod(F.col("__ax") + F.col("__dx"), S.cells_around(F.col("__l"))).cast("long").alias("__ax"),
+            (F.col("__ay") + F.col("__dy")).alias("__ay"), "__n",
         )
-        .groupBy(*by, "__v", "__cx", "__cy")
-        .agg(F.sum("__n").alias("__n"))
-        .where((F.col("__n") >= k) | (F.col("__v") == 0))
-    )
-    home = ["__x", "__y"]
-    level = (
-        _every_level(homes, finest)
-        .join(blocks, ["__v", "__cx", "__cy"], "inner")
-        .groupBy(*home, *by)
-        .agg(F.max("__v").alias("__lv"))
-    )
-    level, here = S.add_cell_box(
-        level, "__a", F.col("__x"), F.col("__y"), F.lit(S.cell_size(finest))
-    )
-    level, block = S.add_cell_box(
-        level, "__b", _at_level(F.col("__x"), F.col("__lv"), finest),
-        _at_level(F.col("__y"), F.col("__lv"), finest),
-        F.lit(360.0) / S.cells_around(F.col("__lv")), reach=1,
-    )
-    bound = F.when(F.col("__lv") == 0, F.lit(1.0)).otherwise(S.hav_high(here, block))
-    finer = F.greatest(F.lit(2), F.least(F.col("__lv") + 1, F.lit(finest)))
-    level = level.withColumns({"__u": bound, "__v": finer}).drop("__lv", *block.columns)
-    reach = S.explode_cells_within(level, here, F.col("__u"), F.col("__v"), "__cx", "__cy")
-    met = reach.join(counts, [*by, "__v", "__cx", "__cy"], "inner")
-    met, that = S.add_cell_box(
-        met, "__c", F.col("__cx"), F.col("__cy"), F.lit(360.0) / S.cells_around(F.col("__v"))
-    )
-    met = met.withColumns({"__lo": S.hav_low(here, that), "__hi": S.hav_high(here, that)})
-    met = met.where(F.col("__lo") <= F.col("__u")).select(
-        *home, *by, "__v", "__cx", "__cy", "__n", "__lo", "__hi"
-    )
-    # Cells of one home: those a circle of a few cell widths touches.
-    nearest_first = (
-        Window.partitionBy(*home, *by).orderBy("__hi", "__cx", "__cy")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    all_cells = Window.partitionBy(*home, *by)
-    met = met.withColumn("__sum", F.sum("__n").over(nearest_first))
-    enough = F.min(F.when(F.col("__sum") >= k, F.col("__hi"))).over(all_cells)
+        .groupBy(*by, "__l", "__ax", "__ay").agg(F.sum("__n").alias("__n"))
+        .where((F.col("__n") >= k) | (F.col("__l") == 0)).drop("__n")
+    )
+
+
+def _nearest_only(met: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Drops cells of the frontier that lie beyond the k-th smallest upper bound of their position."""
+    here = S.Box("__a")
+    there = S.Box("__c")
+    met, there = S.add_box(met, "__c", *[F.col(c) for c in _BOX])
+    met = met.withColumns({"__lo": S.hav_low(here, there), "__hi": S.hav_high(here, there)})
+    met = met.where(F.col("__lo") <= F.col("__u")).drop(*there.columns)
+    own = Window.partitionBy("lat", "lon", *by)
+    if k == 1:
+        enough = F.min("__hi").over(own)
+    else:
+        nearest_first = own.orderBy("__hi", "__m", "__mx", "__my").rowsBetween(Window.unboundedPreceding, 0)
+        met = met.withColumn("__sum", F.sum("__n").over(nearest_first))
+        enough = F.min(F.when(F.col("__sum") >= k, F.col("__hi"))).over(own)
     return (
-        met.withColumn("__k", enough)
-        .where(F.col("__k").isNull() | (F.col("__lo") <= F.col("__k")))
-        .select(*home, *by, "__v", "__cx", "__cy")
-    )
+        met.withColumn("__u", F.least(F.col("__u"), F.coalesce(enough, F.lit(1.0))))
+        .where(F.col("__lo") <= F.col("__u")).drop("__lo", "__hi", "__sum", *_BOX)
+    )
+
+
+def _frontier(positions: DataFrame, leaves: DataFrame, by: list[str], k: int) -> DataFrame:
+    """(lat, lon, category) with the leaves that can hold one of the k nearest points."""
+    limits = [F.min("__south").alias("__south"), F.max("__north").alias("__north"), F.min("__west").alias("__west"), F.max("__east").alias("__east")]
+    above = leaves.withColumn("__l", _even(F.lit(0), F.col("__v")))
+    above = above.withColumns({"__ax": _cell(F.col("__l"))[0], "__ay": _cell(F.col("__l"))[1], "__m": F.least(F.col("__l") + STEP, F.col("__v"))})
+    above = above.withColumns({"__mx": _cell(F.col("__m"))[0], "__my": _cell(F.col("__m"))[1]})
+    cell = [*by, "__l", "__ax", "__ay", "__m", "__mx", "__my"]
+    down = above.groupBy(*cell).agg(F.sum("__n").alias("__n"), *limits).withColumn("__own", F.lit(0))
+    alone = above.where("__l = __v").select(*cell, "__n", *_BOX).withColumn("__own", F.lit(1))
+
+    x, y = S.cell_x(F.col("lon"), FINEST), S.cell_y(F.col("lat"), FINEST)
+    every = positions.withColumns({"__x": x, "__y": y}).withColumn("__l", _even(F.lit(0), F.lit(FINEST)))
+    every = every.withColumns({"__ax": _cell(F.col("__l"))[0], "__ay": _cell(F.col("__l"))[1]})
+    bound = (
+        every.join(_blocks(down, by, k), ["__l", "__ax", "__ay"])
+        .groupBy("lat", "lon", "__x", "__y", *by).agg(F.max("__l").alias("__b"))
+    )
+    bound, here = S.add_box(bound, "__a", F.col("lat"), F.col("lat"), F.col("lon"), F.col("lon"))
+    bound, block = S.add_cell_box(
+        bound, "__k", *_cell(F.col("__b")), F.lit(360.0) / S.cells_around(F.col("__b")), reach=1
+    )
+    reach = F.when(F.col("__b") == 0, F.lit(1.0)).otherwise(S.hav_high(here, block))
+    bound = bound.withColumn("__u", reach).drop(*block.columns, "__x", "__y")
+    # leaves above the level of the block are met at their own
+    levels = F.when(F.col("__b") > BASE, F.sequence(F.lit(BASE), F.col("__b"), F.lit(2))).otherwise(F.array("__b"))
+    bound = bound.withColumn("__l", F.explode(levels)).withColumn("__own", (F.col("__l") < F.col("__b")).cast("int"))
+    reached = S.explode_cells_within(bound.drop("__b"), here, F.col("__u"), F.col("__l"), "__ax", "__ay")
+    met = reached.join(down.unionByName(alone), [*by, "__l", "__ax", "__ay", "__own"]).drop("__l", "__ax", "__ay", "__own")
+    met = _nearest_only(met, by, k).drop("__n")
+    found = above.select(
+        *by, F.col("__l").alias("__m"), F.col("__ax").alias("__mx"), F.col("__ay").alias("__my"), "__v", "__cx", "__cy", "__n", *_BOX
+    )
+    met = met.join(found, [*by, "__m", "__mx", "__my"]).withColumns({"__m": F.col("__v"), "__mx": F.col("__cx"), "__my": F.col("__cy")})
+    return _nearest_only(met, by, k).select("lat", "lon", *by, "__v", "__cx", "__cy")
 
 
 def nearest_k(
@@ -135,13 +157,11 @@ def nearest_k(
     right_id: str = "fid",
     by: list[str] | None = None,
     keep: list[str] | None = None,
-    finest: int | None = None,
 ) -> DataFrame:
     """
     One row per distinct left position (and per category in `by`) and neighbour:
     lat, lon, rank 1..k, the point's id, `keep` columns and km. Equal distances are
-    ordered by id. Fewer than k points give as many rows as there are. The level of the
-    smallest cells is measured on the points unless it is given.
+    ordered by id. Fewer than k points give as many rows as there are.
     """
     by, keep = by or [], keep or []
     points = right.where(not_null(right_lat, right_lon)).select(
@@ -151,25 +171,15 @@ def nearest_k(
     # More than k points at one position cannot all be among the k nearest.
     copies = Window.partitionBy(*by, "__lat", "__lon").orderBy("__id")
     points = points.withColumn("__c", F.row_number().over(copies)).where(F.col("__c") <= k).drop("__c")
-    finest = finest_level(points, "__lat", "__lon") if finest is None else finest
-    points = _cells_of(points, "__lat", "__lon", finest)
-    cells = points.groupBy(*by, "__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
-    counts = (
-        _every_level(cells, finest).groupBy(*by, "__v", "__cx", "__cy").agg(F.sum("__n").alias("__n"))
-    )
-    positions = _cells_of(
-        left.where(not_null(lat, lon)).select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).distinct(),
-        "lat", "lon", finest,
-    )
-    homes = positions.select("__x", "__y").distinct()
-    candidates = _candidate_cells(homes, counts, by, k, finest)
-    leveled = _every_level(points, finest).drop("__x", "__y")
+    points = with_leaves(points, "__lat", "__lon", by)
+    leaves = points.groupBy(*by, "__v", "__cx", "__cy").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__lat").alias("__south"), F.max("__lat").alias("__north"),
+        F.min("__lon").alias("__west"), F.max("__lon").alias("__east"), F.min("__x").alias("__x"), F.min("__y").alias("__y"),
+    )
+    positions = left.where(not_null(lat, lon)).select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).distinct()
+    candidates = _frontier(positions, leaves, by, k)
     h = S.hav(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))
-    pairs = (
-        positions.join(candidates, ["__x", "__y"], "inner")
-        .join(leveled, [*by, "__v", "__cx", "__cy"], "inner")
-        .withColumn("__h", h)
-    )
+    pairs = candidates.join(points.drop("__x", "__y"), [*by, "__v", "__cx", "__cy"]).withColumn("__h", h)
     kept = [f"__keep_{c}" for c in keep]
     if k == 1:
         best = pairs.groupBy("lat", "lon", *by).agg(

@@ -172,17 +172,46 @@ def test_connected_groups_long_chain(spark):
     assert set(out[i] for i in range(65)) == {0} and out[100] == out[101] == 100
 
 
-def test_a_crowded_cell_gets_smaller_cells(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "CROWDED", 20)
-    rng = random.Random(8)
-    feats = [(i, -37.8 + rng.uniform(0, 1e-4), 144.9 + rng.uniform(0, 1e-4)) for i in range(300)]
-    f = points(spark, feats)
-    assert nearest.finest_level(f, "lat", "lon") > nearest.FINEST
-    left = [(i, -37.8 + rng.uniform(-1e-4, 2e-4), 144.9 + rng.uniform(-1e-4, 2e-4)) for i in range(40)]
-    l = points(spark, left, "id long, lat double, lon double")
-    got = {(r["lat"], r["lon"]): r["fid"] for r in nearest.nearest_k(l, f).collect()}
-    for _, a, b in left:
-        assert got[(a, b)] == min((hav(a, b, c, d), i) for i, c, d in feats)[1]
+@pytest.mark.parametrize("k", [1, 3])
+def test_a_hot_city_and_an_empty_region(spark, k):
+    """A block with thousands of points, one of metres with hundreds, and positions far from everything."""
+    rng = np.random.default_rng(8)
+    city = np.array([-37.8, 144.9]) + rng.normal(0, 0.02, (6000, 2))
+    block = np.array([-37.8, 144.9]) + rng.uniform(0, 1e-4, (600, 2))
+    feats = np.vstack([city, block, [[-37.8, 144.9]] * 50, [[-20.0, 120.0], [-20.0, 120.1]]])
+    f = points(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(feats)]).repartition(5)
+    left = np.vstack([city[:40] + 1e-4, block[:40] + 1e-6, rng.uniform([-45, 60], [-10, 179], (60, 2)), [[60.0, -100.0], [-37.8, 144.9]]])
+    l = points(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(left)], "id long, lat double, lon double")
+    leaves = nearest.with_leaves(f, "lat", "lon", [])
+    assert leaves.count() == len(feats)
+    fullest = leaves.where("__v < 26").groupBy("__v", "__cx", "__cy").count().agg(F.max("count")).first()[0]
+    assert fullest <= nearest.LEAF
+    near = nearest.nearest_k(l, f, k)
+    got = {}
+    for r in near.collect():
+        got.setdefault((r["lat"], r["lon"]), []).append((r["rank"], r["fid"], r["km"]))
+    p, q = np.radians(feats), np.radians(left)
+    for (a, b), (la, lo) in zip(left.tolist(), q):
+        h = np.sin((p[:, 0] - la) / 2) ** 2 + np.cos(la) * np.cos(p[:, 0]) * np.sin((p[:, 1] - lo) / 2) ** 2
+        want = 2 * R * np.arcsin(np.sqrt(np.sort(h)[:k]))
+        assert np.allclose([x[2] for x in sorted(got[(a, b)])], want, atol=1e-6)
+    # positions meet leaves, not the city: few candidates each, also from far away
+    positions = l.select("lat", "lon").distinct()
+    boxes = leaves.groupBy("__v", "__cx", "__cy").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("lat").alias("__south"), F.max("lat").alias("__north"),
+        F.min("lon").alias("__west"), F.max("lon").alias("__east"), F.min("__x").alias("__x"), F.min("__y").alias("__y"),
+    )
+    frontier = nearest._frontier(positions, boxes, [], k).groupBy("lat", "lon").count()
+    assert frontier.agg(F.max("count")).first()[0] < 40 and boxes.count() > 500
+
+
+def test_the_search_is_planned_without_a_job(spark):
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "")
+    f = points(spark, [(1, 0.0, 0.0), (2, 1.0, 1.0)])
+    nearest.nearest_k(f, f, 2)
+    assert not jobs.getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_routes_take_independent_minima_over_near_stations(spark):
