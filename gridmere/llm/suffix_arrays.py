@@ -33,10 +33,11 @@ _BITS = 21
 _SHARD = (1 << _BITS) - 1
 #: No byte of UTF-8: stands between documents and beyond their ends.
 _GAP = 0xFF
-#: Lengths of anchors: the first, and those that crowded groups are dealt by again.
-_ANCHORS = (64, 136, 184)
-#: Surroundings that one group may hold before it is dealt by longer anchors.
-_CROWD = 4096
+#: Bytes of an anchor.
+_ANCHOR = 64
+#: Surroundings that one group may hold before it is dealt by longer anchors, and rows hashed at once.
+_CROWD = 16_384
+_PORTION = 4096
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -140,8 +141,8 @@ def block_hashes(text: np.ndarray, length: int) -> np.ndarray:
 
 
 def _row_hashes(rows: np.ndarray) -> np.ndarray:
-    """A hash of each row, whose length is a multiple of 8."""
-    words = np.ascontiguousarray(rows).view("<u8")
+    """A hash of each row; rows of one length go together."""
+    words = np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8))).view("<u8") if len(rows) else np.zeros((0, 1), "u8")
     out = np.zeros(len(rows), "u8")
     for column in words.T:
         out = _mix(out, column)
@@ -211,7 +212,7 @@ def _analyse(pieces: list[tuple[int, bytes]], window: int) -> dict[str, np.ndarr
     at = np.flatnonzero(twice & valid)
     begin, end = _spans(_cover(n, at, at + window))
 
-    chosen, hashes = find_anchors(text, valid, _ANCHORS[0], window)
+    chosen, hashes = find_anchors(text, valid, _ANCHOR, window)
     x = np.flatnonzero(chosen)
 
     def outside(y: np.ndarray) -> np.ndarray:
@@ -250,7 +251,7 @@ def _packed(docs: DataFrame, window: int) -> DataFrame:
         pos, first = np.unique(made["pos"], return_index=True)  # pieces of a long text overlap
         edges = np.cumsum([0, *map(len, docs)])
         of = np.searchsorted(edges, pos, "right") - 1
-        around = surroundings(np.frombuffer(whole, "u1"), pos, edges[of], edges[of + 1], _ANCHORS[0], window)
+        around = surroundings(np.frombuffer(whole, "u1"), pos, edges[of], edges[of + 1], _ANCHOR, window)
         keys = np.stack([made["h"][first], _row_hashes(around).view("i8")], axis=1)
         _, first, count = np.unique(keys, axis=0, return_index=True, return_counts=True)
         made = {
@@ -326,20 +327,22 @@ _AROUND = ["h", "shard", "pos", "single", "different", "around"]
 
 def _side_by_side(h: np.ndarray, rows: np.ndarray, window: int) -> np.ndarray:
     """Which windows of each row stand at the same place of another row of the same anchor."""
-    keys = _mix(block_hashes(rows, window), h.view("u8")[:, None])
-    gaps = np.cumsum(rows == _GAP, axis=1)
-    whole = gaps[:, window - 1 :] - np.pad(gaps, ((0, 0), (1, 0)))[:, : keys.shape[1]] == 0
-    out = np.zeros(keys.shape, bool)
-    for column in range(keys.shape[1]):
-        own = keys[:, column]
+    keys = np.empty((rows.shape[1] - window + 1, len(rows)), "u8")
+    whole = np.empty(keys.shape, bool)
+    for low in range(0, len(rows), _PORTION):
+        some = rows[low : low + _PORTION]
+        keys[:, low : low + _PORTION] = _mix(block_hashes(some, window), h[low : low + _PORTION].view("u8")[:, None]).T
+        gaps = np.pad(np.cumsum(some == _GAP, axis=1, dtype="i2"), ((0, 0), (1, 0)))
+        whole[:, low : low + _PORTION] = (gaps[:, window:] == gaps[:, :-window]).T
+    for own, out in zip(keys, whole, strict=True):
         ranked = np.sort(own)
-        out[:, column] = np.searchsorted(ranked, own, "right") - np.searchsorted(ranked, own, "left") > 1
-    return out & whole
+        out &= np.searchsorted(ranked, own, "right") - np.searchsorted(ranked, own, "left") > 1
+    return whole.T
 
 
 def _merged(asked: DataFrame, anchor: int, window: int) -> DataFrame:
     """(shard, begin, end): what is covered by windows found in several surroundings of an anchor."""
-    reach, portion = window - anchor, _CROWD
+    reach = window - anchor
 
     def compared(table: pa.Table) -> pa.RecordBatch:
         h, shard, pos = (table.column(c).to_numpy() for c in ("h", "shard", "pos"))
@@ -358,8 +361,8 @@ def _merged(asked: DataFrame, anchor: int, window: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            for low in range(0, batch.num_rows, portion):
-                own = pa.Table.from_batches([batch.slice(low, portion)])
+            for low in range(0, batch.num_rows, _PORTION):
+                own = pa.Table.from_batches([batch.slice(low, _PORTION)])
                 table = (pa.concat_tables([rest, own]) if rest is not None else own).combine_chunks()
                 h = table.column("h").to_numpy()
                 last = np.flatnonzero(h != h[-1])
@@ -378,39 +381,32 @@ def _merged(asked: DataFrame, anchor: int, window: int) -> DataFrame:
 
 def _anchored_again(asked: DataFrame, old: int, new: int, window: int) -> DataFrame:
     """
-    The surroundings dealt by longer anchors, each with what of them stands around those: `left`
-    and `right` bytes of it, the rest being gaps. A place that two surroundings show is one
-    place, with all that either shows.
+    Every anchor with its surroundings as two longer ones: with the bytes before it and with those
+    after it. A window around the old anchor reaches one of them, as at least half of what
+    it has besides the anchor is on one side.
     """
-    reach = window - old
+    reach, more = window - old, new - old
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                own = batch.slice(low, 1024)
-                rows = np.frombuffer(b"".join(own.column("around").to_pylist()), "u1").reshape(own.num_rows, -1)
-                gaps = np.pad(np.cumsum(rows == _GAP, axis=1), ((0, 0), (1, 0)))
-                valid = gaps[:, window:] == gaps[:, :-window]
-                chosen, hashes = find_anchors(rows, valid, new, window)
-                row, x = np.nonzero(chosen)
-                sides = np.pad(rows, ((0, 0), (window, window)), constant_values=_GAP)
-                left = sides[row[:, None], x[:, None] + window + np.arange(new - window, 0)]
-                right = sides[row[:, None], x[:, None] + window + np.arange(window)]
+            rows = np.frombuffer(b"".join(batch.column("around").to_pylist()), "u1").reshape(batch.num_rows, -1)
+            shard, pos, single = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "pos", "single"))
+            for side, begin in ((-more, reach - more), (0, reach)):
+                anchors = rows[:, begin : begin + new]
+                whole = ~(anchors == _GAP).any(axis=1)
+                low = 0 if side else more
+                around = rows[whole, low : low + rows.shape[1] - more]
                 yield pa.RecordBatch.from_pydict({
-                    "h": hashes[row, x].view("i8"), "shard": own.column("shard").to_numpy()[row],
-                    "pos": own.column("pos").to_numpy()[row] - reach + x,
-                    "single": own.column("single").to_numpy(zero_copy_only=False)[row],
-                    "left": (left != _GAP).sum(axis=1), "right": (right != _GAP).sum(axis=1),
-                    "before": pa.array([r.tobytes() for r in left], pa.binary()),
-                    "after": pa.array([r.tobytes() for r in right], pa.binary()),
+                    "h": _row_hashes(anchors[whole]).view("i8"), "g": _row_hashes(around).view("i8"),
+                    "shard": shard[whole], "pos": pos[whole] + side, "single": single[whole],
+                    "around": pa.array([r.tobytes() for r in around], pa.binary()),
                 })
 
-    schema = "h long, shard long, pos long, single boolean, left long, right long, before binary, after binary"
-    around = F.concat(F.max_by("before", "left"), F.max_by("after", "right"))
+    # a place can come from two anchors, with the same surroundings, and is one place still
     return (
-        asked.mapInArrow(work, schema).groupBy("h", "shard", "pos")
-        .agg(F.bool_or("single").alias("single"), F.max("left").alias("left"), F.max("right").alias("right"), around.alias("around"))
-        .withColumn("g", F.xxhash64("around")).withColumn("n", F.lit(1).cast("long"))
+        asked.mapInArrow(work, "h long, g long, shard long, pos long, single boolean, around binary")
+        .groupBy("h", "g", "shard", "pos").agg(F.bool_or("single").alias("single"), F.first("around").alias("around"))
+        .withColumn("n", F.lit(1).cast("long"))
     )
 
 
@@ -454,27 +450,30 @@ def repeated_strings(
 
     Null texts are empty. Equal rows are documents of their own, so they remove each other. A
     row without doc_id is kept as such. Other columns are ignored; an empty table gives no
-    rows. `window` is a multiple of 8 above the longest anchor, 184.
+    rows. `window` is a multiple of 8 above 64, the length of an anchor.
 
     Nothing is capped: an anchor with over `crowd` different surroundings is dealt again by longer
-    ones, at last by whole windows. A shard reports an anchor with equal surroundings once, so the
+    ones, at last by whole windows, which halves what is left each time. A shard reports an anchor with equal surroundings once, so the
     largest group that meets in one task has a row per 2 MB of text.
     """
     shards = materialise(_packed(texts(docs, doc_id, text), window), "shards")
     anchors = shards.select("shard", F.inline(F.arrays_zip("h", "g", "pos", "n"))).withColumn("single", F.col("n") == 1)
-    lengths = [*_ANCHORS, window]
-    begin, end = F.col("pos") - (window - lengths[0]), F.col("pos") + window
+    def around(rows: DataFrame, length: int) -> DataFrame:
+        return rows.select("shard", (F.col("pos") - (window - length)).alias("begin"), (F.col("pos") + window).alias("end"))
+
+    length = _ANCHOR
     covered, asked = _sorted_out(anchors)
-    spans = materialise(covered.select("shard", begin.alias("begin"), end.alias("end")), "covered")
-    asked = materialise(_with_surroundings(asked, shards, lengths[0], window), "asked")
-    for old, new in zip(lengths, lengths[1:], strict=False):
-        spans = spans.unionByName(_merged(asked.where(F.col("different") <= crowd), old, window))
+    spans = materialise(around(covered, length), "covered")
+    asked = materialise(_with_surroundings(asked, shards, length, window), "asked")
+    while length < window:
+        spans = spans.unionByName(_merged(asked.where(F.col("different") <= crowd), length, window))
         crowded = asked.where(F.col("different") > crowd)
         if crowded.isEmpty():
             break
-        again = materialise(_anchored_again(crowded, old, new, window), "anchored_again")
+        longer = length + (window - length + 1) // 2
+        again = materialise(_anchored_again(crowded, length, longer, window), "anchored_again")
         covered, asked = _sorted_out(again)
-        begin, end = F.col("pos") - F.col("left"), F.col("pos") + F.col("right")
-        spans = spans.unionByName(covered.select("shard", begin.alias("begin"), end.alias("end")))
+        length = longer
+        spans = spans.unionByName(around(covered, length))
         asked = materialise(asked, "asked_again")
     return _removed(shards, spans)
