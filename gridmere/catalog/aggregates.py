@@ -150,8 +150,8 @@ def pearson_matrix(spark, sf):
     return out.select("a", "b", F.round("r", 8).alias("r"))
 
 
-# Sixty columns with gaps of their own: the shape that column selection works on.
-_WIDE_COLS = [f"w{i:02d}" for i in range(60)]
+# 120 columns with gaps of their own: the shape that column selection works on.
+_WIDE_COLS = [f"w{i:03d}" for i in range(120)]
 _WIDE = "SELECT " + ", ".join(
     f"CASE WHEN (o_orderkey + {i}) % {5 + i % 7} = 0 THEN NULL ELSE (o_custkey * {i % 9 + 1} + o_orderkey * {i + 1}) % {97 + 4 * i} + o_totalprice / {1000 + 500 * i} END AS {c}"
     for i, c in enumerate(_WIDE_COLS)
@@ -162,7 +162,7 @@ _WIDE = "SELECT " + ", ".join(
     "wide_pearson_matrix",
     f"WITH n AS ({_WIDE}), c AS (SELECT "
     + ", ".join(f"corr({a}, {b}) AS {a}_{b}" for i, a in enumerate(_WIDE_COLS) for b in _WIDE_COLS[i + 1 :])
-    + " FROM n) SELECT name[1:3] AS a, name[5:7] AS b, round(abs(r), 8) AS r FROM (UNPIVOT c ON * INTO NAME name VALUE r)",
+    + " FROM n) SELECT name[1:4] AS a, name[6:9] AS b, round(abs(r), 8) AS r FROM (UNPIVOT c ON * INTO NAME name VALUE r)",
 )
 def wide_pearson_matrix(spark, sf):
     out = pearson_pairs(shaped(spark, sf, _WIDE), _WIDE_COLS)
