@@ -281,20 +281,23 @@ def _packed(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(work, _SHARD_SCHEMA)
 
 
-def _sorted_out(anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sorted_out(anchors: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """
-    (covered, asked) of rows (h, g, shard, pos, n, single, ...): those of `single` ones whose
-    surroundings stand in several places, and, of anchors with different surroundings, one
-    row for each of these.
+    (covered, asked) of rows (h, g, shard, pos, n, single) and perhaps `around`: those of `single`
+    ones whose surroundings stand in several places, and, of anchors with different
+    surroundings, one row for each of these. Both are written as one table, so that the
+    anchors are dealt once.
     """
     alike = Window.partitionBy("h", "g")
-    marked = anchors.withColumn("total", F.sum("n").over(alike)).withColumn(
-        "nth", F.row_number().over(alike.orderBy("shard", "pos"))
-    )
-    covered = marked.where(F.col("single") & (F.col("total") > 1))
-    first = marked.where("nth = 1").withColumn("single", F.col("single") & (F.col("total") == 1)).drop("total", "nth", "n")
+    place = F.struct("shard", "pos")
+    marked = anchors.withColumn("total", F.sum("n").over(alike)).withColumn("first", F.min(place).over(alike))
+    more = [c for c in anchors.columns if c == "around"]
+    covered = marked.where(F.col("single") & (F.col("total") > 1)).select("shard", "pos")
+    single = (F.col("single") & (F.col("total") == 1)).alias("single")
+    first = marked.where(F.col("first") == place).select("h", "shard", "pos", single, *more)
     mixed = first.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
-    return covered, first.join(mixed, "h")
+    both = materialise(first.join(mixed, "h").unionByName(covered, allowMissingColumns=True), name)
+    return both.where("h IS NULL").select("shard", "pos"), both.where("h IS NOT NULL")
 
 
 def _unpacked(shard: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -462,8 +465,8 @@ def repeated_strings(
         return rows.select("shard", (F.col("pos") - (window - length)).alias("begin"), (F.col("pos") + window).alias("end"))
 
     length = _ANCHOR
-    covered, asked = _sorted_out(anchors)
-    spans = materialise(around(covered, length), "covered")
+    covered, asked = _sorted_out(anchors, "sorted_out")
+    spans = around(covered, length)
     asked = materialise(_with_surroundings(asked, shards, length, window), "asked")
     while length < window:
         spans = spans.unionByName(_merged(asked.where(F.col("different") <= crowd), length, window))
@@ -471,9 +474,7 @@ def repeated_strings(
         if crowded.isEmpty():
             break
         longer = length + (window - length + 1) // 2
-        again = materialise(_anchored_again(crowded, length, longer, window), "anchored_again")
-        covered, asked = _sorted_out(again)
+        covered, asked = _sorted_out(_anchored_again(crowded, length, longer, window), "sorted_out")
         length = longer
         spans = spans.unionByName(around(covered, length))
-        asked = materialise(asked, "asked_again")
     return _removed(shards, spans)
