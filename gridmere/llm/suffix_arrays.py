@@ -1,7 +1,7 @@
 """
 Exact repeated strings of a fixed length, by suffix arrays of shards and a merge across shards.
 
-Documents are packed into shards of at most 2 MB. Each shard gets a suffix array by
+Documents are packed into shards of at most 1 MB. Each shard gets a suffix array by
 Larsson-Sadakane refinement: suffixes are sorted by their first letters, then only groups that
 still tie are sorted again by the group of the suffix twice as far on. Kasai's rule gives the
 common prefixes of neighbours: one place further on in the text, both neighbours move on and share one
@@ -29,7 +29,7 @@ from gridmere.llm.common import texts
 from gridmere.session import materialise
 
 #: Three numbers below this fit into one sortable long: group, group further on, place.
-_BITS = 21
+_BITS = 20
 _SHARD = (1 << _BITS) - 1
 #: No byte of UTF-8: stands between documents and beyond their ends.
 _GAP = 0xFF
@@ -43,7 +43,7 @@ _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
-    (order, least): the places of `text` (bytes, fewer than 2^21) in the order of their suffixes, and
+    (order, least): the places of `text` (bytes, fewer than 2^20) in the order of their suffixes, and
     for each a number of letters that it surely shares with the one before it; the two share fewer than
     twice as many.
     """
@@ -457,7 +457,7 @@ def repeated_strings(
 
     Nothing is capped: an anchor with over `crowd` different surroundings is dealt again by longer
     ones, at last by whole windows, which halves what is left each time. A shard reports an anchor with equal surroundings once, so the
-    largest group that meets in one task has a row per 2 MB of text.
+    largest group that meets in one task has a row per MB of text.
     """
     shards = materialise(_packed(texts(docs, doc_id, text), window), "shards")
     anchors = shards.select("shard", F.inline(F.arrays_zip("h", "g", "pos", "n"))).withColumn("single", F.col("n") == 1)
