@@ -8,9 +8,10 @@ same place whatever the partitioning or a lost executor.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 
 from gridmere import fixed
 from gridmere.functions.numbers import finite
+from gridmere.operators.correlation import profile
+from gridmere.operators.extra_trees import ExtraTreesRegressor
 from gridmere.operators.tables import union_all
 
 _BUCKETS = 10_000
@@ -181,13 +184,12 @@ def forest(
     )
 
 
-def randomised_forest(label: str, trees: int = 500, depth: int = 12, seed: int = 42, leaf: int = 3, **names):
-    """
-    Stands in for extremely randomised trees, which Spark ML does not have: a forest over
-    random feature subsets. Quality compares, numbers differ.
-    """
-    model = forest(label, trees, depth, seed, leaf, **names)
-    return model.setFeatureSubsetStrategy("onethird")
+def randomised_forest(
+    label: str, trees: int = 500, depth: int = 12, seed: int = 42, leaf: int = 3,
+    features: str = "features", prediction: str = "prediction",
+) -> ExtraTreesRegressor:
+    """Extremely randomised trees over all rows and features."""
+    return ExtraTreesRegressor(trees, depth, leaf, seed, features, label, prediction)
 
 
 def boosting(
@@ -283,69 +285,73 @@ def importances(spark, names: Sequence[str], values, labels: Mapping[str, str] |
 # --- ridge ------------------------------------------------------------------
 
 
-def _moments(df: DataFrame, features: Sequence[str], label: str, fold: str, middle) -> list:
-    """Per fold: count and sums of products of centred values. One row per fold."""
-    cols = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip([*features, label], middle)]
-    sums = [F.sum(cols[i] * cols[j]).alias(f"p{i}_{j}") for i in range(len(cols)) for j in range(i + 1)]
-    ones = [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]
-    rows = df.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), *ones, *sums).collect()
-    k = len(cols)
-    out = []
-    for r in rows:
-        cross = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i + 1):
-                cross[i, j] = cross[j, i] = r[f"p{i}_{j}"]
-        out.append((r["n"], np.array([r[f"s{i}"] for i in range(k)]), cross))
+def _over_blocks(df: DataFrame, columns: Sequence[str], work: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum of `size` numbers that `work` makes of each block of rows."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += work(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("f8"))
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(size), pa.int32()), "v": total})
+
+    num = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    sums = num.mapInArrow(blocks, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(size)
+    for r in sums:
+        out[r["at"]] = r["v"]
     return out
 
 
 def ridge_search(
-    df: DataFrame, features: Sequence[str], label: str, fold: str = "fold",
-    alphas: Sequence[float] | None = None,
+    df: DataFrame, features: Sequence[str], label: str, alphas: Sequence[float] | None = None
 ) -> dict:
     """
-    Ridge regression on standardised features with the penalty chosen by the folds.
+    Ridge regression on standardised features with the penalty of the least leave-one-out error.
 
-    The data is read for the means and once more for sums of products per fold; every
-    penalty is then scored on those small matrices, as the squared error of a fold follows
-    from its sums. Needs rows without missing values.
+    The data is read three times: for the means, for the matrix of products, and for the errors.
+    In the axes of that matrix the fit and the leverage of a row are sums over the features, so that
+    one product with a feature-by-penalty matrix gives them for a block of rows and all penalties; the
+    row's error without itself is its residual over one less its leverage. Needs rows without
+    missing values. Only sums come back: numbers per feature pair and per penalty.
     """
     if alphas is None:
         lo, hi, n = fixed.RIDGE_ALPHAS
         alphas = np.logspace(lo, hi, n)
-    middle = df.agg(*[F.avg(F.col(c).cast("double")) for c in [*features, label]]).first()
-    parts = _moments(df, features, label, fold, middle)
-
-    def fit(n, s, cross, alpha):
-        """Coefficients on standardised features, with their means and scales."""
-        mean = s / n
-        cov = cross / n - np.outer(mean, mean)
-        scale = np.sqrt(np.clip(np.diag(cov)[:-1], 0, None))
-        scale[scale == 0] = 1.0
-        gram = cov[:-1, :-1] / np.outer(scale, scale)
-        beta = np.linalg.solve(gram + (alpha / n) * np.eye(len(scale)), cov[:-1, -1] / scale)
-        return beta, mean, scale
-
-    total = [sum(p[i] for p in parts) for i in range(3)]
-    errors = np.zeros(len(alphas))
-    for n, s, cross in parts:
-        rest = (total[0] - n, total[1] - s, total[2] - cross)
-        for a, alpha in enumerate(alphas):
-            beta, mean, scale = fit(*rest, alpha)
-            w = np.append(-beta / scale, 1.0)
-            c = mean[-1] - (beta / scale) @ mean[:-1]
-            errors[a] += w @ cross @ w - 2 * c * (w @ s) + n * c * c
-    best = float(alphas[int(np.argmin(errors))])
-    beta, mean, scale = fit(*total, best)
+    alphas, k, columns = np.asarray(alphas, float), len(features), [*features, label]
+    known = profile(df, columns)
+    rows = known[label][0]
+    centre = np.array([known[c][4] for c in columns])
+
+    def cross(x: np.ndarray) -> np.ndarray:
+        x = x - centre
+        return (x.T @ x).ravel()
+
+    products = _over_blocks(df, columns, cross, (k + 1) ** 2).reshape(k + 1, k + 1)
+    scale = np.sqrt(np.diag(products)[:k] / rows)
+    scale[scale == 0] = 1.0
+    values, axes = np.linalg.eigh(products[:k, :k] / np.outer(scale, scale))
+    values = np.clip(values, 0, None)
+    along = axes.T @ (products[:k, k] / scale)
+    shrunk = 1 / (values[:, None] + alphas)
+
+    def errors(x: np.ndarray) -> np.ndarray:
+        x = x - centre
+        own = (x[:, :k] / scale) @ axes
+        leverage = (own * own) @ shrunk + 1 / rows
+        left = x[:, k:] - (own * along) @ shrunk
+        return ((left / (1 - leverage)) ** 2).sum(axis=0)
+
+    loss = _over_blocks(df, columns, errors, len(alphas)) / rows
+    best = int(np.argmin(loss))
+    beta = axes @ (along * shrunk[:, best])
     weights = beta / scale
-    centre = np.array([float(m) for m in middle]) + mean
     return {
-        "alpha": best,
-        "coefficients": dict(zip(features, beta)),
-        "weights": dict(zip(features, weights)),
-        "intercept": float(centre[-1] - weights @ centre[:-1]),
-        "cv_mse": float(errors.min() / total[0]),
+        "alpha": float(alphas[best]),
+        "coefficients": dict(zip(features, map(float, beta))),
+        "weights": dict(zip(features, map(float, weights))),
+        "intercept": float(centre[k] - weights @ centre[:k]),
+        "cv_mse": float(loss[best]),
     }
 
 

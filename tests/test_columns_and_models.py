@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from gridmere.operators import cleaning as C
@@ -135,23 +136,56 @@ def test_no_row_is_predicted_by_a_model_that_saw_it(planted):
         assert p == pytest.approx(sum(s for _, s in rest) / sum(n for n, _ in rest), abs=1e-3)
 
 
-def test_ridge_equals_numpy(planted):
-    df = M.with_fold(planted, "row_id", 3).withColumn("y", F.col("y") + F.pmod(F.col("row_id") * 17, F.lit(23)))
+def test_ridge_leaves_one_out_as_brute_force_does(planted):
+    df = planted.withColumn("y", F.col("y") + F.pmod(F.col("row_id") * 17, F.lit(23)))
     alphas = [0.1, 10.0, 1000.0]
     got = M.ridge_search(df, ["a", "b"], "y", alphas=alphas)
-    pdf = df.select("a", "b", "y", "fold").toPandas()
-
-    def fit(d, alpha):
-        x, y = d[["a", "b"]].to_numpy(), d["y"].to_numpy()
-        m, s = x.mean(0), x.std(0)
-        z = (x - m) / s
-        beta = np.linalg.solve(z.T @ z + alpha * np.eye(2), z.T @ (y - y.mean()))
-        return beta, lambda e: ((e[["a", "b"]].to_numpy() - m) / s) @ beta + y.mean()
-
-    errors = [sum(((fit(pdf[pdf.fold != f], a)[1](pdf[pdf.fold == f]) - pdf[pdf.fold == f]["y"]) ** 2).sum() for f in range(3)) for a in alphas]
+    pdf = df.select("a", "b", "y").toPandas()
+    x, y = pdf[["a", "b"]].to_numpy(), pdf["y"].to_numpy()
+    z = (x - x.mean(0)) / x.std(0)
+
+    def fit(z, y, alpha):
+        m = z.mean(0)
+        beta = np.linalg.solve((z - m).T @ (z - m) + alpha * np.eye(2), (z - m).T @ (y - y.mean()))
+        return beta, y.mean() - m @ beta
+
+    errors = []
+    for alpha in alphas:
+        lost = 0.0
+        for i in range(len(y)):
+            beta, base = fit(np.delete(z, i, 0), np.delete(y, i), alpha)
+            lost += (y[i] - base - z[i] @ beta) ** 2
+        errors.append(lost / len(y))
     best = alphas[int(np.argmin(errors))]
-    beta, predict = fit(pdf, best)
-    assert got["alpha"] == best and got["cv_mse"] == pytest.approx(min(errors) / len(pdf))
+    beta, base = fit(z, y, best)
+    assert got["alpha"] == best and got["cv_mse"] == pytest.approx(min(errors))
     assert list(got["coefficients"].values()) == pytest.approx(list(beta))
     scored = M.ridge_predict(df, got).select("a", "b", "prediction").toPandas()
-    assert np.allclose(scored["prediction"], predict(scored))
+    assert np.allclose(scored["prediction"], (scored[["a", "b"]].to_numpy() - x.mean(0)) / x.std(0) @ beta + base)
+
+
+def test_extra_trees_split_where_they_must(spark):
+    """Pure groups far apart: every tree ends in them; small ones are kept together by the leaf size."""
+    steps = {0.0: 5.0, 1.0: 9.0, 2.0: -3.0, 100.0: 40.0}
+    rows = [(x, 7.0, (i * 37) % 11 * 1.0, y) for x, y in steps.items() for i in range(25)]
+    df = spark.createDataFrame([*rows, (0.0, 7.0, 0.0, None)], "x double, same double, noise double, y double").repartition(3)
+    assemble = VectorAssembler(inputCols=["x", "same", "noise"], outputCol="features")
+    model = M.randomised_forest("y", trees=40).fit(assemble.transform(df))
+    got = model.transform(assemble.transform(df)).groupBy("x").agg(F.min("prediction"), F.max("prediction")).collect()
+    assert {r[0]: (round(r[1], 9), round(r[2], 9)) for r in got} == {x: (y, y) for x, y in steps.items()}
+    assert model.featureImportances[1] == 0 and model.featureImportances[0] > 0.8
+    again = M.randomised_forest("y", trees=40).fit(assemble.transform(df.repartition(7)))
+    assert [t[1].tolist() for t in again.trees] == [t[1].tolist() for t in model.trees]
+    small = M.randomised_forest("y", trees=5, leaf=30).fit(assemble.transform(df))
+    assert all(len(t[0]) <= 7 for t in small.trees)
+
+
+def test_extra_trees_draw_thresholds_evenly(spark):
+    """One feature from 0 to 1, with an outlier that only widens the limits below the first cut."""
+    rng = np.random.default_rng(1)
+    x = rng.uniform(0, 1, 400)
+    df = spark.createDataFrame([(float(a), float(a > 0.5) * 2 + float(a)) for a in x], "x double, y double")
+    assemble = VectorAssembler(inputCols=["x"], outputCol="features")
+    model = M.randomised_forest("y", trees=300, depth=1).fit(assemble.transform(df))
+    cuts = np.array([t[1][0] for t in model.trees])
+    assert abs(cuts.mean() - 0.5) < 0.06 and abs(cuts.std() - 12**-0.5) < 0.03
