@@ -34,9 +34,9 @@ def correspondence(spark, sf):
     )
 
 
-# Values per source area; some are missing in one column, some areas in both.
-_VALUES = """SELECT c_nationkey AS area_a, CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE avg(c_acctbal) END AS v1,
-  CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE count(*) + 0e0 END AS v2 FROM customer WHERE c_nationkey < 22 GROUP BY 1"""
+# Values per source area; some are missing in one column, the first three areas in both.
+_VALUES = """SELECT c_nationkey + 3 AS area_a, CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE avg(c_acctbal) END AS v1,
+  CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE count(*) + 0e0 END AS v2 FROM customer GROUP BY c_nationkey"""
 _SHARED = f"""SELECT area_a, area_b, area_c, w, coalesce(w / nullif(sum(w) OVER (PARTITION BY area_b), 0),
   area_size / nullif(sum(area_size) OVER (PARTITION BY area_b), 0)) AS share FROM ({BRIDGE}) t"""
 

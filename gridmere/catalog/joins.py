@@ -22,13 +22,14 @@ def customers_by_nation(spark, sf):
 
 
 def suppliers_by_nation(spark, sf):
-    return table(spark, sf, "supplier").where(F.col("s_nationkey") < 20).groupBy(
-        F.col("s_nationkey").alias("k")
-    ).agg(F.count(F.lit(1)).alias("suppliers"))
+    # shifted, so that some nations have none and some keys no nation
+    return table(spark, sf, "supplier").groupBy((F.col("s_nationkey") + 5).alias("k")).agg(
+        F.count(F.lit(1)).alias("suppliers")
+    )
 
 
 _BY_NATION = """WITH c AS (SELECT c_nationkey AS k, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1),
-  s AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_nationkey < 20 GROUP BY 1)"""
+  s AS (SELECT s_nationkey + 5 AS k, count(*) AS suppliers FROM supplier GROUP BY 1)"""
 
 
 @query(
@@ -56,15 +57,16 @@ def facts_with_area(spark, sf):
 
 @query(
     "composite_key_join",
-    """WITH l AS (SELECT p_name AS name_key, p_brand AS brand, min(p_partkey) AS code FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2)
+    """WITH l AS (SELECT p_name AS name_key, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE concat(p_brand, '?') END AS brand, min(p_partkey) AS code FROM part GROUP BY 1, 2)
   SELECT p_partkey, upper(p_name) AS name_key, p_brand AS brand, l.code FROM part LEFT JOIN l ON p_name = l.name_key AND p_brand = l.brand""",
 )
 def composite_key_join(spark, sf):
     part = table(spark, sf, "part")
     named = part.select("p_partkey", place_key(F.col("p_name")).alias("name_key"), F.col("p_brand").alias("brand"))
-    codes = part.where(F.col("p_partkey") % 3 == 0).select(
+    other = F.concat(F.col("p_brand"), F.lit("?"))  # a brand that no part has
+    codes = part.select(
         place_key(F.concat(F.col("p_name"), F.lit(" (Vic.)"))).alias("name_key"),
-        F.col("p_brand").alias("brand"), F.col("p_partkey").alias("code"),
+        F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(other).alias("brand"), F.col("p_partkey").alias("code"),
     )
     joined = T.join_unique(named, codes, ["name_key", "brand"], [F.col("code")])
     return joined.select("p_partkey", "name_key", "brand", "code")
@@ -95,14 +97,14 @@ def candidate_resolution(spark, sf):
 @query(
     "yearly_full_outer",
     f"""WITH a AS ({YEARLY}), b AS (SELECT s_nationkey AS k, CAST(year(l_shipdate) AS INT) AS yr, count(*) AS shipped FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-    WHERE s_nationkey > 4 GROUP BY 1, 2), c AS (SELECT * FROM a WHERE k < 20)
+    GROUP BY 1, 2), c AS (SELECT k + 5 AS k, yr, v FROM a)
   SELECT coalesce(c.k, b.k) AS k, coalesce(c.yr, b.yr) AS yr, v, shipped FROM c FULL JOIN b ON c.k = b.k AND c.yr = b.yr""",
 )
 def yearly_full_outer(spark, sf):
-    a = shaped(spark, sf, YEARLY).where(F.col("k") < 20)
+    a = shaped(spark, sf, YEARLY).withColumn("k", F.col("k") + 5)
     b = (
         table(spark, sf, "lineitem")
-        .join(table(spark, sf, "supplier").where(F.col("s_nationkey") > 4), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy(F.col("s_nationkey").alias("k"), F.year("l_shipdate").alias("yr"))
         .agg(F.count(F.lit(1)).alias("shipped"))
     )

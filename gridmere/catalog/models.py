@@ -1,6 +1,6 @@
 """
-Models (M1-M15, A19, T3). Fits are over whole tables; ensembles use few trees here so
-that a run stays short, the defaults are in the operators.
+Models (M1-M15, A19, T3), with the settings that the operators have by default. Ensembles are fitted
+on facts about every part, summed up from all its line items.
 """
 
 from pyspark.ml import Pipeline
@@ -17,10 +17,19 @@ _ITEMS = """SELECT l_orderkey * 8 + l_linenumber AS row_id, l_suppkey AS area, l
 NUMBERS = ["quantity", "discount", "tax", "size", "retail"]
 
 
+_PARTS = """SELECT p_partkey AS row_id, p_partkey % 97 AS area, avg(l_extendedprice) AS price, avg(l_quantity) AS quantity, avg(l_discount) AS discount,
+  avg(l_tax) AS tax, CAST(max(p_size) AS DOUBLE) AS size, max(p_retailprice) AS retail, max(p_brand) AS kind
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_partkey"""
+
+
 def items(spark, sf):
     return shaped(spark, sf, _ITEMS)
 
 
+def parts(spark, sf):
+    return shaped(spark, sf, _PARTS)
+
+
 @query(
     "median_imputation",
     f"""SELECT row_id, price, coalesce(quantity, (SELECT median(quantity) FROM ({_ITEMS}) u)) AS quantity FROM ({_ITEMS}) t""",
@@ -83,30 +92,29 @@ def linear_model(spark, sf):
 
 
 def _scored(spark, sf, regressor, scale=False, categorical=("kind",)):
-    train, test = M.train_test(items(spark, sf), "area")
+    train, test = M.train_test(parts(spark, sf), "area")
     model = Pipeline(stages=[*M.preparation(NUMBERS, list(categorical), scale), regressor]).fit(train)
     return M.metrics(model.transform(test), "price"), model, test
 
 
 @query("forest_model")
 def forest_model(spark, sf):
-    return _scored(spark, sf, M.forest("price", trees=10, depth=6))[0]
+    return _scored(spark, sf, M.forest("price"))[0]
 
 
 @query("boosting_model")
 def boosting_model(spark, sf):
-    return _scored(spark, sf, M.boosting("price", rounds=8, depth=4))[0]
+    return _scored(spark, sf, M.boosting("price"))[0]
 
 
 @query("randomised_forest_model")
 def randomised_forest_model(spark, sf):
-    return _scored(spark, sf, M.randomised_forest("price", trees=10, depth=6))[0]
+    return _scored(spark, sf, M.randomised_forest("price"))[0]
 
 
 # A price in steps: every tree must end in pure leaves, so that its means are the steps.
-_STEPS = """SELECT concat(l_orderkey, '-', l_linenumber) AS row_id, CAST(l_linenumber AS DOUBLE) AS x,
-  CAST(l_quantity AS DOUBLE) AS noise, CASE WHEN l_linenumber < 3 THEN 100e0 WHEN l_linenumber < 5 THEN 250e0 ELSE 40e0 END AS y
-  FROM lineitem"""
+_STEPS = """SELECT p_partkey AS row_id, CAST(p_size % 7 AS DOUBLE) AS x, p_retailprice AS noise, 1e0 AS flat,
+  CASE WHEN p_size % 7 < 3 THEN 100e0 WHEN p_size % 7 < 5 THEN 250e0 ELSE 40e0 END AS y FROM part"""
 _STEPS_SQL = f"SELECT x, min(y) AS low, max(y) AS high, count(*) AS rows FROM ({_STEPS}) t GROUP BY 1"
 
 
@@ -121,24 +129,63 @@ def _on_steps(spark, sf, regressor):
 
 @query("forest_on_steps", _STEPS_SQL)
 def forest_on_steps(spark, sf):
-    return _on_steps(spark, sf, M.forest("y", trees=5))
+    return _on_steps(spark, sf, M.forest("y"))
 
 
 @query("boosting_on_steps", _STEPS_SQL)
 def boosting_on_steps(spark, sf):
-    return _on_steps(spark, sf, M.boosting("y", rounds=3))
+    return _on_steps(spark, sf, M.boosting("y"))
+
+
+@query("randomised_forest_on_steps", _STEPS_SQL)
+def randomised_forest_on_steps(spark, sf):
+    return _on_steps(spark, sf, M.randomised_forest("y"))
+
+
+@query(
+    "importances_on_steps",
+    f"""SELECT feature, label, importance AS value, importance FROM (SELECT 'x' AS feature, 'Size class' AS label, count(DISTINCT x) > 1 AS used FROM ({_STEPS}) t
+  UNION ALL SELECT 'flat', 'flat', count(DISTINCT flat) > 1 FROM ({_STEPS}) t) q, LATERAL (SELECT CAST(used AS DOUBLE) AS importance) i""",
+)
+def importances_on_steps(spark, sf):
+    df = shaped(spark, sf, _STEPS)
+    model = Pipeline(stages=[*M.preparation(["x", "flat"], scale=False), M.forest("y")]).fit(df)
+    names = M.slots(model.transform(df), numeric=["x", "flat"])
+    found = M.importances(spark, names, model.stages[-1].featureImportances.toArray(), {"x": "Size class"})
+    return top(found.withColumns({c: r6(c, c) for c in ("value", "importance")}), "importance", 10, "feature")
 
 
 @query("ridge_model")
 def ridge_model(spark, sf):
     known, _ = M.train_test(items(spark, sf), "area")
-    df = M.with_fold(M.fill_medians(items(spark, sf), NUMBERS, source=known), "area")
-    train, test = M.train_test(df, "area")
+    train, test = M.train_test(M.fill_medians(items(spark, sf), NUMBERS, source=known), "area")
     fit = M.ridge_search(train, NUMBERS, "price")
     scored = M.metrics(M.ridge_predict(test, fit), "price")
     return scored.select("*", F.lit(fit["alpha"]).alias("alpha"))
 
 
+_ALPHAS = "SELECT pow(10e0, -3 + i * 7e0 / 149) AS alpha FROM (SELECT unnest(range(150)) AS i) q"
+# Leave-one-out by the leverage of every row, written out for two standardised features with correlation c.
+_TWO = "SELECT CAST(p_size AS DOUBLE) AS a, CAST(p_partkey % 1000 AS DOUBLE) AS b, p_retailprice + p_size * p_size AS y FROM part"
+
+
+@query(
+    "ridge_of_two_features",
+    f"""WITH t AS ({_TWO}), s AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM t),
+  z AS (SELECT (a - ma) / sa AS u, (b - mb) / sb AS v, y - my AS w, n FROM t, s),
+  g AS (SELECT max(n) AS n, sum(u * v) AS c, sum(u * w) AS p, sum(v * w) AS q FROM z),
+  k AS (SELECT alpha, n, ((n + alpha) * p - c * q) / d AS bu, ((n + alpha) * q - c * p) / d AS bv, (n + alpha) / d AS h1, -c / d AS h2
+    FROM (SELECT alpha, g.*, (n + alpha) * (n + alpha) - c * c AS d FROM g, ({_ALPHAS}) x) r),
+  e AS (SELECT alpha, any_value(bu) AS bu, any_value(bv) AS bv, avg(pow((w - bu * u - bv * v) / (1 - 1e0 / k.n - (u * u + v * v) * h1 - 2 * u * v * h2), 2)) AS mse FROM z, k GROUP BY alpha),
+  best AS (SELECT arg_min(alpha, mse) AS alpha, arg_min(bu, mse) AS bu, arg_min(bv, mse) AS bv, min(mse) AS mse FROM e)
+  SELECT round(alpha, 6) AS alpha, round(bu, 6) AS beta_a, round(bv, 6) AS beta_b, round(my - bu / sa * ma - bv / sb * mb, 6) AS intercept, round(mse, 4) AS mse FROM best, s""",
+)
+def ridge_of_two_features(spark, sf):
+    fit = M.ridge_search(shaped(spark, sf, _TWO), ["a", "b"], "y")
+    row = (round(fit["alpha"], 6), *[round(fit["coefficients"][c], 6) for c in "ab"], round(fit["intercept"], 6), round(fit["cv_mse"], 4))
+    return spark.createDataFrame([row], "alpha double, beta_a double, beta_b double, intercept double, mse double")
+
+
 def bucket_sql(key: str, seed: int) -> str:
     return f"CAST(concat('0x', substr(md5(concat({key}, '|{seed}')), 1, 8)) AS BIGINT) % 10000"
 
@@ -190,21 +237,43 @@ def out_of_fold_predictions(spark, sf):
 
 @query("stacked_model")
 def stacked_model(spark, sf):
-    train, test = M.train_test(items(spark, sf), "row_id")
+    train, test = M.train_test(parts(spark, sf), "row_id")
     makers = {
         "internal": _linear_on(["quantity", "size"], ["kind"]),
-        "external": lambda: Pipeline(stages=[*M.preparation(["retail", "tax", "discount"]), M.forest("price", trees=5, depth=5)]),
-        "combined": lambda: Pipeline(stages=[*M.preparation(NUMBERS, ["kind"], scale=False), M.boosting("price", rounds=4, depth=4)]),
+        "external": lambda: Pipeline(stages=[*M.preparation(["retail", "tax", "discount"]), M.forest("price")]),
+        "combined": lambda: Pipeline(stages=[*M.preparation(NUMBERS, ["kind"], scale=False), M.boosting("price")]),
     }
-    _, scored = M.stack(train, test, "row_id", "price", makers, folds=3)
+    _, scored = M.stack(train, test, "row_id", "price", makers)
     return union_all(
         [M.metrics(scored, "price", c).select(F.lit(c).alias("model"), "*") for c in [*makers, "stacked"]]
     )
 
 
+_PAIR = "SELECT p_partkey AS row_id, CAST(p_size AS DOUBLE) AS size, CAST(p_partkey % 1000 AS DOUBLE) AS code, p_retailprice + p_size * p_size AS price FROM part"
+
+
+@query(
+    "stacked_linear",
+    f"""WITH t AS (SELECT *, ({bucket_sql('row_id', 67)}) < 2000 AS test, ({bucket_sql('row_id', 68)}) % 5 AS fold FROM ({_PAIR}) p), tr AS (SELECT * FROM t WHERE NOT test),
+  f AS (SELECT k AS fold, regr_slope(price, size) AS b1, regr_intercept(price, size) AS a1, regr_slope(price, code) AS b2, regr_intercept(price, code) AS a2
+    FROM tr, (SELECT unnest(range(5)) AS k) q WHERE tr.fold <> k GROUP BY 1),
+  m AS (SELECT price AS y, a1 + b1 * size AS p, a2 + b2 * code AS q FROM tr JOIN f ON tr.fold = f.fold),
+  c AS (SELECT var_pop(p) AS vp, var_pop(q) AS vq, covar_pop(p, q) AS pq, covar_pop(y, p) AS yp, covar_pop(y, q) AS yq, avg(y) AS my, avg(p) AS mp, avg(q) AS mq FROM m),
+  w AS (SELECT (yp * vq - yq * pq) / (vp * vq - pq * pq) AS wp, (yq * vp - yp * pq) / (vp * vq - pq * pq) AS wq, my, mp, mq FROM c),
+  g AS (SELECT regr_slope(price, size) AS b1, regr_intercept(price, size) AS a1, regr_slope(price, code) AS b2, regr_intercept(price, code) AS a2 FROM tr)
+  SELECT row_id, round(a1 + b1 * size, 3) AS size_model, round(a2 + b2 * code, 3) AS code_model,
+    round(my + wp * (a1 + b1 * size - mp) + wq * (a2 + b2 * code - mq), 3) AS stacked FROM t, g, w WHERE test""",
+)
+def stacked_linear(spark, sf):
+    train, test = M.train_test(shaped(spark, sf, _PAIR), "row_id")
+    makers = {"size_model": _linear_on(["size"]), "code_model": _linear_on(["code"])}
+    _, scored = M.stack(train, test, "row_id", "price", makers)
+    return scored.select("row_id", *[F.round(c, 3).alias(c) for c in (*makers, "stacked")])
+
+
 @query("feature_importances")
 def feature_importances(spark, sf):
-    _, model, test = _scored(spark, sf, M.forest("price", trees=10, depth=6))
+    _, model, test = _scored(spark, sf, M.forest("price"))
     names = M.slots(model.transform(test))
     table_ = M.importances(spark, names, model.stages[-1].featureImportances.toArray(), {"size": "Part size"})
     return top(table_, "importance", 10, "feature")
@@ -215,7 +284,7 @@ def feature_set_comparison(spark, sf):
     from gridmere.plans.compare import compare_feature_sets
 
     sets = {"Size": ["quantity", "size"], "Price": ["retail", "tax", "discount"], "All": NUMBERS}
-    performance, _ = compare_feature_sets(items(spark, sf), sets, "price", "row_id", trees=5, depth=5)
+    performance, _ = compare_feature_sets(parts(spark, sf), sets, "price", "row_id")
     return performance
 
 
@@ -241,5 +310,22 @@ def growth_model(spark, sf):
         F.avg(F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_totalprice") / 100000)).alias("rent_growth_pct"),
         F.avg(F.when(F.col("o_orderstatus") == "O", 1.0).otherwise(0.2)).alias("sqm_coverage"),
     )
-    scored, _, _ = fit_growth(by, features=["erp_2025", "irsad_score", "school_count"], trees=5, depth=5)
+    scored, _, _ = fit_growth(by, features=["erp_2025", "irsad_score", "school_count"])
     return scored
+
+
+# Nations whose growth is a step of their region; only some are measured, fully or not at all.
+_MEASURED = """SELECT n_nationkey AS sal_code_2021, CAST(n_regionkey AS DOUBLE) AS erp_2025, CASE WHEN n_nationkey % 4 = 3 THEN NULL ELSE 3e0 * n_regionkey + 1 END AS rent_growth_pct,
+  CASE WHEN n_nationkey % 4 = 3 THEN 0e0 ELSE 1e0 END AS sqm_coverage, count(*) AS dwellings_2021 FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_regionkey"""
+
+
+@query(
+    "growth_on_steps",
+    f"""SELECT sal_code_2021, 3e0 * erp_2025 + 1 AS model_growth_pct, 3e0 * erp_2025 + 1 AS predicted_growth_pct, dwellings_2021 FROM ({_MEASURED}) t""",
+)
+def growth_on_steps(spark, sf):
+    from gridmere.plans.growth import fit_growth
+
+    # a suburb for every region and customer count, so that leaves of three rows are pure
+    scored, _, _ = fit_growth(shaped(spark, sf, _MEASURED), features=["erp_2025"])
+    return scored.select("sal_code_2021", r6("model_growth_pct", "model_growth_pct"), r6("predicted_growth_pct", "predicted_growth_pct"), "dwellings_2021")
