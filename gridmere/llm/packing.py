@@ -14,12 +14,13 @@ their places afterwards, so that whole sequences are written and read back.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmere.llm.common import per_batch, texts
@@ -27,7 +28,6 @@ from gridmere.llm.encoder import encoder
 from gridmere.session import materialise
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
-_ID_BYTES = 4
 _SEQUENCE_BITS, _PARTITION_BITS = 28, 24
 
 
@@ -38,27 +38,31 @@ def token_pieces(
     """
     The pieces of every document: its ids and `end_id`, cut from the back into pieces of
     `capacity` ids if there are more, so that only the first piece may be shorter. Null texts
-    are empty and give one piece with the end id alone. The ids are unsigned, of four bytes each,
-    the least first.
+    are empty and give one piece with the end id alone. The ids are unsigned, the least byte first, of as
+    many bytes as the vocabulary needs (`encoder(vocabulary).width`).
     """
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         code = encoder(vocabulary)
-        end = np.asarray([end_id], "<u4")
-        rows: list[tuple] = []
-        for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            ids = np.concatenate([code.ids(t.as_py()).astype("<u4"), end])
-            first = len(ids) % capacity or capacity
-            cuts = [0, *range(first, len(ids) + 1, capacity)]
-            rows += [
-                (d, i, a, b - a, ids[a:b].tobytes())
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
-            ]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        names = [c.split()[0] for c in _PIECES.split(", ")]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names
+        end = np.asarray([end_id], code.kind).tobytes()
+        made = [code.encode(t.as_py()) + end for t in batch.column("text")]
+        total = np.array([len(m) // code.width for m in made])
+        count = -(-total // capacity)
+        first = total - (count - 1) * capacity
+        doc = np.repeat(np.arange(len(made)), count)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        length = np.where(piece == 0, first[doc], capacity)
+        start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
+        edges = np.append(0, np.cumsum(length * code.width))
+        if edges[-1] >= 1 << 31:
+            raise ValueError("a batch of documents has too many tokens; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        ids = pa.Array.from_buffers(
+            pa.binary(), len(doc), [None, pa.py_buffer(edges.astype("i4").tobytes()), pa.py_buffer(b"".join(made))]
         )
+        return pa.RecordBatch.from_pydict({
+            "doc_id": batch.column("doc_id").take(pa.array(doc)), "piece": pa.array(piece, pa.int32()), "start": start,
+            "length": length, "ids": ids,
+        })
 
     return per_batch(texts(docs, doc_id, text), cut, _PIECES)
 
@@ -224,25 +228,33 @@ def write_sequences(
     return docs.sparkSession.read.parquet(path)
 
 
-def placed_pieces(sequences: DataFrame) -> DataFrame:
-    """The pieces of written sequences with the checksum of the ids that lie at their offsets."""
-
-    def read(part: Column) -> Column:
-        at = (part["offset"] * _ID_BYTES + 1).cast("int")
-        ids = F.substring("ids", at, (part["length"] * _ID_BYTES).cast("int"))
-        return F.struct(
-            *[part[c].alias(c) for c in ("doc_id", "piece", "start", "length")],
-            F.crc32(ids).alias("ids_crc32"), part["offset"].alias("offset"),
-        )
+def placed_pieces(sequences: DataFrame, width: int) -> DataFrame:
+    """
+    The pieces of written sequences, whose ids have `width` bytes, with the checksum of the ids
+    that lie at their offsets, as unsigned integers of four bytes.
+    """
 
-    found = sequences.select("sequence_id", F.explode(F.transform("pieces", read)).alias("x"))
-    return found.select(
-        "x.doc_id", "x.piece", "x.start", "x.length", "x.ids_crc32", "sequence_id", "x.offset"
-    )
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pieces, ids = batch.column("pieces"), batch.column("ids")
+        own = dict(zip(("offset", "doc_id", "piece", "start", "length"), pieces.flatten().flatten(), strict=True))
+        count = pieces.value_lengths().to_numpy(zero_copy_only=False)
+        edges = np.frombuffer(ids.buffers()[1], "i4")[ids.offset : ids.offset + len(ids) + 1].astype("i8")
+        wide = np.frombuffer(ids.buffers()[2], f"<u{width}", (edges[-1] - edges[0]) // width, edges[0]).astype("<u4")
+        begin = np.repeat((edges[:-1] - edges[0]) // width, count) + own["offset"].to_numpy()
+        stop, data = begin + own["length"].to_numpy(), memoryview(wide).cast("B")
+        crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+        sequence = np.repeat(batch.column("sequence_id").to_numpy(), count)
+        return pa.RecordBatch.from_pydict({
+            **{c: own[c] for c in ("doc_id", "piece", "start", "length")}, "ids_crc32": pa.array(crc, pa.int64()),
+            "sequence_id": sequence, "offset": own["offset"],
+        })
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return per_batch(sequences.select("sequence_id", "ids", "pieces"), read, schema)
 
 
 def pack_documents(
     docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048
 ) -> DataFrame:
     """The pieces of whole documents, as they lie in the sequences of `write_sequences`."""
-    return placed_pieces(write_sequences(docs, vocabulary, end_id, capacity))
+    return placed_pieces(write_sequences(docs, vocabulary, end_id, capacity), encoder(vocabulary).width)

@@ -91,12 +91,12 @@ def test_written_sequences_hold_the_ids(spark, odd_docs, odd_rows, library, no_d
             want[doc_id, piece, a, tuple(ids[a:b])] += 1
     got = Counter()
     for r in spark.read.parquet(str(tmp_path / "sequences")).collect():
-        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        ids = np.frombuffer(r["ids"], "<u2").tolist()
         assert len(ids) == sum(p["length"] for p in r["pieces"]) <= 512
         got.update((p["doc_id"], p["piece"], p["start"], tuple(ids[p["offset"] : p["offset"] + p["length"]])) for p in r["pieces"])
     assert got == want and made.select("sequence_id").distinct().count() == made.count()
     wrong = made.withColumn("ids", F.concat(F.lit(b"\1\0\0\0"), "ids"))
-    crcs = [{(r["doc_id"], r["piece"], r["ids_crc32"]) for r in packing.placed_pieces(x).collect()} for x in (made, wrong)]
+    crcs = [{(r["doc_id"], r["piece"], r["ids_crc32"]) for r in packing.placed_pieces(x, 2).collect()} for x in (made, wrong)]
     assert crcs[0] != crcs[1]
     assert packing.write_sequences(no_docs, BPE).count() == 0
 
