@@ -109,7 +109,7 @@ def boosting_model(spark, sf):
 
 @query("randomised_forest_model")
 def randomised_forest_model(spark, sf):
-    return _scored(spark, sf, M.randomised_forest("price"))[0]
+    return _scored(spark, sf, M.randomised_forest("price"), categorical=())[0]
 
 
 # A price in steps: every tree must end in pure leaves, so that its means are the steps.
