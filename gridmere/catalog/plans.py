@@ -42,8 +42,7 @@ def _area_code(c):
     return (F.col(c) + 206000000).cast("string")
 
 
-@query("master_table", _MASTER_SQL)
-def master_table(spark, sf):
+def _built(spark, sf):
     v = F.nullif(F.col("v"), F.lit(0.0))
     index = shaped(spark, sf, WEEKLY_INDEX).select(
         (F.col("k") + 3000).cast("long").alias("postcode"), F.col("week").alias("date"),
@@ -52,7 +51,7 @@ def master_table(spark, sf):
     areas = edges_from_vertices(shaped(spark, sf, POLY_SPARK), "area_id", "seq").select(
         _area_code("area_id").alias("sa2_code_2021"), F.lit(1.0).alias("area_albers_sqkm"), "edges"
     )
-    tables = enrich.build_master(
+    return enrich.build_master(
         enrich.Sources(
             listings=shaped(spark, sf, _LISTINGS).drop("id"),
             areas=areas,
@@ -64,6 +63,11 @@ def master_table(spark, sf):
             index=index,
         )
     )
+
+
+@query("master_table", _MASTER_SQL)
+def master_table(spark, sf):
+    tables = _built(spark, sf)
     return tables.master.join(tables.rent_ratios, "listing_id").select(
         "listing_id", "sal_code_2021", "sa2_code_2021", r6("nearest_school_km", "nearest_school_km"), "school_count",
         "land_lot_shared", "sqm_week_lag_days", F.round("sqm_market_rent", 5).alias("sqm_market_rent"),
@@ -71,6 +75,19 @@ def master_table(spark, sf):
     )
 
 
+@query(
+    "audited_build",
+    f"""SELECT 'school points' AS source, 'joined' AS status, concat(count(*), ' points') AS detail FROM ({GEO_RIGHT}) t
+  UNION ALL SELECT 'weekly rent index', 'joined', concat(count(*), ' postcode weeks') FROM ({WEEKLY_INDEX}) t
+  UNION ALL SELECT s, 'skipped', 'not supplied' FROM (SELECT unnest(['area population by year', 'area income by year', 'driving routes', 'amenities', 'incidents']) AS s) q""",
+)
+def audited_build(spark, sf):
+    told = F.col("status") == "skipped"
+    return _built(spark, sf).coverage.where(told | F.col("source").isin("school points", "weekly rent index")).select(
+        "source", "status", "detail"
+    )
+
+
 _INDEX = """SELECT CAST(3000 + c_nationkey AS STRING) AS postcode, CAST(o_orderdate AS DATE) AS date,
   CASE WHEN c_nationkey % 6 <> 5 THEN o_totalprice END AS combined FROM orders JOIN customer ON o_custkey = c_custkey"""
 _AREAS = "SELECT CAST(206000000 + c_nationkey AS STRING) AS sa2_code_2021, avg(c_acctbal) AS irsad_score, count(*) AS school_count FROM customer GROUP BY 1"

@@ -12,10 +12,12 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.base import Estimator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,7 @@ from gridmere.functions.numbers import finite
 from gridmere.operators.correlation import profile
 from gridmere.operators.extra_trees import ExtraTreesRegressor
 from gridmere.operators.tables import union_all
+from gridmere.session import materialise
 
 _BUCKETS = 10_000
 
@@ -139,21 +142,61 @@ def standardise(df: DataFrame, columns: Sequence[str], source: DataFrame | None
     )
 
 
+class _FillParams(Params):
+    numeric = Param(Params._dummy(), "numeric", "columns filled with their median", TypeConverters.toListString)
+    categorical = Param(Params._dummy(), "categorical", "columns filled with their mode", TypeConverters.toListString)
+    suffix = Param(Params._dummy(), "suffix", "ending of the filled columns' names", TypeConverters.toString)
+
+
+class FillMissing(Estimator, _FillParams, DefaultParamsReadable, DefaultParamsWritable):
+    """
+    Exact medians of numbers and modes of categories (of equally common ones the smallest), learned
+    from the rows it is fitted on. The filled columns stand beside the given ones, under
+    their names and `suffix`. A number column without a value is filled with 0, a category with ''.
+    """
+
+    def __init__(self, numeric: Sequence[str] = (), categorical: Sequence[str] = (), suffix: str = "__filled"):
+        super().__init__()
+        self._set(numeric=list(numeric), categorical=list(categorical), suffix=suffix)
+
+    def _fit(self, df: DataFrame) -> FillMissingModel:
+        numeric, categorical = self.getOrDefault("numeric"), self.getOrDefault("categorical")
+        medians = exact_medians(df, numeric) if numeric else {}
+        modes = most_frequent(df.select(*[F.col(c).cast("string").alias(c) for c in categorical]), categorical)
+        return self._copyValues(FillMissingModel())._set(
+            medians=[medians.get(c, 0.0) for c in numeric], modes=[modes.get(c, "") for c in categorical]
+        )
+
+
+class FillMissingModel(Model, _FillParams, DefaultParamsReadable, DefaultParamsWritable):
+    """What `FillMissing` learned; a savable stage of a pipeline."""
+
+    medians = Param(Params._dummy(), "medians", "one per numeric column", TypeConverters.toListFloat)
+    modes = Param(Params._dummy(), "modes", "one per categorical column", TypeConverters.toListString)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        numeric, categorical, suffix = (self.getOrDefault(p) for p in ("numeric", "categorical", "suffix"))
+        filled = {
+            f"{c}{suffix}": F.coalesce(finite(F.col(c).cast("double")), F.lit(m))
+            for c, m in zip(numeric, self.getOrDefault("medians"), strict=True)
+        } | {
+            f"{c}{suffix}": F.coalesce(F.col(c).cast("string"), F.lit(m))
+            for c, m in zip(categorical, self.getOrDefault("modes"), strict=True)
+        }
+        return df.withColumns(filled)
+
+
 def preparation(
     numeric: Sequence[str], categorical: Sequence[str] = (), scale: bool = True, out: str = "features"
 ) -> list[Estimator | Transformer]:
     """
-    Median imputation (and scaling) of numbers; one-hot categories where an unseen
-    value is all zeros.
+    Missing numbers to the median, missing categories to the mode; (scaled) numbers and one-hot
+    categories, where an unseen value is all zeros.
     """
-    stages: list[Estimator | Transformer] = []
+    stages: list[Estimator | Transformer] = [FillMissing(numeric, categorical)]
     parts = []
     if numeric:
-        filled = [f"{c}__filled" for c in numeric]
-        stages += [
-            Imputer(strategy="median", inputCols=list(numeric), outputCols=filled),
-            VectorAssembler(inputCols=filled, outputCol=f"{out}__num"),
-        ]
+        stages.append(VectorAssembler(inputCols=[f"{c}__filled" for c in numeric], outputCol=f"{out}__num"))
         parts.append(f"{out}__num")
         if scale:
             stages.append(
@@ -163,7 +206,7 @@ def preparation(
     if categorical:
         idx, hot = [f"{c}__index" for c in categorical], [f"{c}__hot" for c in categorical]
         stages += [
-            StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep"),
+            StringIndexer(inputCols=[f"{c}__filled" for c in categorical], outputCols=idx, handleInvalid="keep"),
             OneHotEncoder(inputCols=idx, outputCols=hot, dropLast=True),
         ]
         parts += hot
@@ -221,11 +264,12 @@ def out_of_fold(
     prediction: str = "prediction",
 ) -> DataFrame:
     """Each row predicted by the model that was fitted without its fold."""
-    df = df.persist()
-    parts = []
+    cached, parts = df.persist(), []
     for i in range(folds):
-        model = make().fit(df.where(F.col(fold) != i))
+        model = make().fit(cached.where(F.col(fold) != i))
+        # predicts from the rows themselves, so that the cached ones can go
         parts.append(model.transform(df.where(F.col(fold) == i)).select(*df.columns, prediction))
+    cached.unpersist()
     return union_all(parts)
 
 
@@ -238,8 +282,8 @@ def stack(
     test predictions of the same models refitted on all training rows. Returns it and the
     test rows: key, label, one prediction per model, and `stacked`.
     """
-    folded = with_fold(train, key, folds)
-    folded, test = folded.persist(), test.persist()
+    folded = materialise(with_fold(train, key, folds), "folded")
+    test = materialise(test, "held_out")
     meta, final = folded.select(key, label), test.select(key, label)
     for name, make in makers.items():
         oof = out_of_fold(folded, make, folds)

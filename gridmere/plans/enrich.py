@@ -323,28 +323,31 @@ def split_target_derived(master: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def build_master(src: Sources) -> Tables:
+    """
+    The six tables. Optional sources may be absent, empty or broken: each contributes a table of its own,
+    written as it is made, and one that fails is left out and recorded. The coverage table is
+    counted during those writes; it also tells of columns without any value.
+    """
     spark = src.listings.sparkSession
-    notes: list[DataFrame] = []
-
-    def count(df: DataFrame) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n"))
-
-    def note(df: DataFrame | None, source: str, what: str) -> None:
-        """A coverage row: joined when the table has rows, skipped when it is absent."""
-        if df is None:
-            base = spark.range(1).select(F.lit(0).alias("n"))
-            notes.append(Q.coverage_row(base, source, "skipped", "not supplied"))
-            return
-        n = F.col("n")
-        status = F.when(n > 0, "joined").otherwise("failed")
-        notes.append(Q.coverage_row(count(df), source, status, F.concat(n.cast("string"), F.lit(f" {what}"))))
-
-    bridge = suburb_bridge(src.blocks)
-    note(bridge, "suburb/postcode/area correspondence", "overlaps")
-    income = yearly_income(src.income) if src.income else None
-    note(src.population, "area population by year", "rows")
-    note(income, "area income by year", "rows")
-    yearly = area_years(src.population, income, spark)
+    audit = Q.Audit(spark)
+
+    def given(source: str, needed, make):
+        """What the source contributes, or None."""
+        if needed is None or needed is False:
+            audit.note(source, "skipped", "not supplied")
+            return None
+        return audit.attempt(source, make)
+
+    bridge = materialise(
+        audit.watch(suburb_bridge(src.blocks), "suburb/postcode/area correspondence", "overlaps"), "correspondence"
+    )
+    population = given("area population by year", src.population, lambda: materialise(
+        audit.watch(src.population, "area population by year", "rows"), "population"
+    ))
+    income = given("area income by year", src.income or None, lambda: materialise(
+        audit.watch(yearly_income(src.income), "area income by year", "rows"), "income"
+    ))
+    yearly = area_years(population, income, spark)
 
     # Areas with their snapshots; a source that matches too few is reported as failed.
     snapshots = dict(src.snapshots)
@@ -352,9 +355,13 @@ def build_master(src: Sources) -> Tables:
         snapshots[f"area income {src.income_year}"] = income_snapshot(income, src.income_year)
     names = [c for c in AREA_NAMES if c in src.areas.columns]
     base = src.areas.select(AREA, *names)
+    gates, kept = [], []
     for source, table in snapshots.items():
-        notes.append(Q.match_gate(base, table, AREA, source))
-    area_master = left_join_all(base, snapshots.values(), AREA)
+        own = audit.attempt(source, lambda t=table: materialise(t, "snapshot"))
+        if own is not None:
+            gates.append(Q.match_gate(base, own, AREA, source))
+            kept.append(own)
+    area_master = left_join_all(base, kept, AREA)
 
     # Once per distinct position. Positions and point layers are stage tables, since every
     # search reads them; each search answers for the positions alone.
@@ -365,43 +372,76 @@ def build_master(src: Sources) -> Tables:
         with_containing_area(spots, src.areas, AREA, attributes=names),
         spots.select("lat", "lon", km_to_point(F.col("lat"), F.col("lon"), fixed.CITY_CENTRE).alias("cbd_km")),
     ]
-    counts = []
-    layers = {n: materialise(points, n) for n, points in point_layers(src).items()}
-    for name, points in layers.items():
-        found.append(with_nearest_km(spots, points, f"nearest_{name}_km"))
-        counts.append(point_counts(points, src.areas, AREA, f"{name}_count"))
-        note(points, f"{name} points", "points")
-    note(src.routes, "driving routes", "routes")
-    if src.routes is not None and "train_station" in layers:
-        found.append(with_routes(spots, src.routes, layers["train_station"]))
-    note(src.lots, "land size", "polygons")
-    if src.lots is not None:
-        found.append(smallest_lot(spots, src.lots, "prop_pfi"))
-    note(src.amenities, "amenities", "amenity points")
-    if src.amenities is not None:
-        kinds = sorted(r[0] for r in src.amenities.select("amenity_type").distinct().collect())
-        points = src.amenities.select(
-            F.col("amenity_id").alias("fid"), "amenity_type",
-            F.col("amenity_lat").alias("lat"), F.col("amenity_lon").alias("lon"),
-        )
-        found.append(with_nearest_km_by(spots, points, "amenity_type", kinds))
+    counts, layers = [], {}
+
+    def layer(name: str, points: DataFrame) -> DataFrame:
+        layers[name] = materialise(audit.watch(points, f"{name} points", "points"), name)
+        return materialise(with_nearest_km(spots, layers[name], f"nearest_{name}_km"), f"nearest_{name}")
+
+    for name, points in point_layers(src).items():
+        near = audit.attempt(f"{name} points", lambda n=name, p=points: layer(n, p))
+        if near is not None:
+            found.append(near)
+            counts.append(point_counts(layers[name], src.areas, AREA, f"{name}_count"))
+
+    def routes() -> DataFrame:
+        own = with_routes(spots, src.routes, layers["train_station"])
+        return materialise(audit.watch(own, "driving routes", "positions with a route", "cbd_drive_km"), "routes")
+
+    near = given("driving routes", src.routes is not None and "train_station" in layers, routes)
+    found += [near] if near is not None else []
+
+    def land() -> DataFrame:
+        own = smallest_lot(spots, src.lots, "prop_pfi")
+        return materialise(audit.watch(own, "land size", "positions on a lot", "land_lot_shared"), "land")
+
+    near = given("land size", src.lots, land)
+    found += [near] if near is not None else []
+
+    def amenities() -> DataFrame | None:
+        points = audit.watch(src.amenities.select(
+            F.col("amenity_id").alias("fid"), "amenity_type", F.col("amenity_lat").alias("lat"),
+            F.col("amenity_lon").alias("lon"),
+        ), "amenities", "amenity points")
+        points = materialise(points, "amenities")
+        # the names of columns: more kinds than a table can have columns would be no categories
+        kinds = sorted(r[0] for r in points.select("amenity_type").where("amenity_type IS NOT NULL").distinct().limit(_KINDS + 1).collect())
+        if len(kinds) > _KINDS:
+            raise ValueError(f"more than {_KINDS} kinds of amenities")
+        if not kinds:
+            return None
+        near = materialise(with_nearest_km_by(spots, points, "amenity_type", kinds), "nearest_amenities")
         counts.append(point_counts_by(points, src.areas, AREA, "amenity_type", kinds))
+        return near
+
+    near = given("amenities", src.amenities, amenities)
+    found += [near] if near is not None else []
 
-    area_master = materialise(left_join_all(area_master, counts, AREA), "area_master")
+    area_master = materialise(audit.watch_columns(left_join_all(area_master, counts, AREA), "area_master columns"), "area_master")
     placed = left_join_all(spots, found, ["lat", "lon"]).withColumnsRenamed({"lat": "__la", "lon": "__lo"})
     at = (F.col("lat") == F.col("__la")) & (F.col("lon") == F.col("__lo"))
     master = with_suburb_code(src.listings, bridge).join(placed, at, "left").drop("__la", "__lo")
     master = materialise(join_area_table(master, area_master, AREA), "placed_listings")
 
-    note(src.index, "weekly rent index", "postcode weeks")
-    if src.index is not None:
-        master = with_market_index(master, src.index)
-    note(src.incidents, "incidents", "rows")
-    if src.incidents is not None and src.suburb_population is not None:
-        master = with_incident_rates(master, src.incidents, src.suburb_population)
+    def added(source: str, what: str, table: DataFrame, step) -> DataFrame:
+        return materialise(step(master, materialise(audit.watch(table, source, what), "source")), "master")
+
+    source = "weekly rent index"
+    more = given(source, src.index, lambda: added(source, "postcode weeks", src.index, with_market_index))
+    master = master if more is None else more
+    source, whole = "incidents", src.incidents is not None and src.suburb_population is not None
+    more = given(source, whole, lambda: added(
+        source, "rows", src.incidents, lambda m, i: with_incident_rates(m, i, src.suburb_population)
+    ))
+    master = master if more is None else more
 
     master, ratios = split_target_derived(master)
-    return Tables(master, area_master, yearly, bridge, ratios, union_all(notes))
+    master = materialise(audit.watch_columns(master, "master columns"), "master")
+    return Tables(master, area_master, yearly, bridge, ratios, union_all([*gates, audit.table()]))
+
+
+#: Kinds of amenities that may become columns.
+_KINDS = 500
 
 
 def write_master(tables: Tables, folder: str, fmt: str = "parquet") -> None:

@@ -14,6 +14,7 @@ from gridmere.operators import models as M
 from gridmere.operators.crosswalk import weighted_values
 from gridmere.operators.tables import last_values, left_join_all, top
 from gridmere.operators.trend import monthly_trend, yearly_trend
+from gridmere.session import materialise
 
 AREA, SUBURB, NAME = "sa2_code_2021", "sal_code_2021", "sal_name_2021"
 MODEL_FEATURES = [*fixed.AREA_FEATURES, *fixed.HISTORY_FEATURES, *fixed.INCIDENT_FEATURES]
@@ -74,7 +75,7 @@ def fit_growth(
     spark = suburbs.sparkSession
     used = [c for c in features if c in suburbs.columns]
     usable = (F.col(coverage) >= fixed.MIN_TRAIN_COVERAGE) & F.col(label).isNotNull()
-    train = M.with_fold(suburbs.where(usable), key, folds, seed=42).persist()
+    train = materialise(M.with_fold(suburbs.where(usable), key, folds, seed=42), "train")
 
     def make():
         return Pipeline(

@@ -189,3 +189,17 @@ def test_extra_trees_draw_thresholds_evenly(spark):
     model = M.randomised_forest("y", trees=300, depth=1).fit(assemble.transform(df))
     cuts = np.array([t[1][0] for t in model.trees])
     assert abs(cuts.mean() - 0.5) < 0.06 and abs(cuts.std() - 12**-0.5) < 0.03
+
+
+def test_pipelines_fill_with_exact_medians_and_modes_and_can_be_saved(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    rows = [(i, float(i * i), None if i % 5 == 0 else ["u", "v", "v"][i % 3]) for i in range(1, 11)]
+    df = spark.createDataFrame([*rows, (11, None, None), (12, float("nan"), "w")], "id int, a double, k string").withColumn("none", F.lit(None).cast("double"))
+    model = Pipeline(stages=M.preparation(["a", "none"], ["k"], scale=False)).fit(df)
+    model.write().overwrite().save(str(tmp_path / "model"))
+    saved = PipelineModel.load(str(tmp_path / "model"))
+    out = [m.transform(df).orderBy("id").select("a__filled", "none__filled", "k__filled", vector_to_array("features")).collect() for m in (model, saved)]
+    assert out[0] == out[1]
+    assert out[0][10][:3] == ((25.0 + 36.0) / 2, 0.0, "v") and out[0][11][:3] == (30.5, 0.0, "w")

@@ -142,6 +142,32 @@ def test_area_tables_and_coverage(tables):
     assert all(r["s"] == pytest.approx(1) for r in shares) and len(shares) == 3
 
 
+def test_the_build_goes_on_without_a_source_and_says_so(sources, spark):
+    from dataclasses import replace
+
+    from pyspark.sql import types as T
+
+    broken = sources.index.withColumn("combined", F.raise_error(F.lit("cannot be read")).cast("double"))
+    tables = enrich.build_master(replace(
+        sources, index=broken, lots=None, stops=sources.stops.limit(0),
+        routes=None, amenities=spark.createDataFrame([], sources.amenities.schema),
+    ))
+    rows = {r["source"]: r for r in tables.coverage.collect()}
+    assert rows["weekly rent index"]["status"] == "failed" and "cannot be read" in rows["weekly rent index"]["detail"]
+    assert rows["land size"]["status"] == rows["driving routes"]["status"] == "skipped"
+    assert rows["amenities"]["status"] == rows["train_station points"]["status"] == "missing"
+    assert rows["incidents"]["status"] == "joined" and rows["school points"]["status"] == "joined"
+    assert rows["master columns"]["status"] == "failed" and "nearest_train_station_km" in rows["master columns"]["detail"]
+    assert tables.master.count() == 120 and "sqm_market_rent" not in tables.master.columns
+    assert T.StringType() == tables.coverage.schema["status"].dataType
+
+
+def test_partial_answers(tables):
+    rows = {r["source"]: r for r in tables.coverage.collect()}
+    assert rows["land size"]["status"] == "partial" and "positions on a lot" in rows["land size"]["detail"]
+    assert rows["driving routes"]["status"] == "failed" and rows["driving routes"]["detail"].startswith("0/")
+
+
 def test_write_six_tables(tables, tmp_path, spark):
     enrich.write_master(tables, str(tmp_path))
     assert sorted(p.name for p in tmp_path.iterdir()) == ["area_master", "area_yearly", "correspondence", "coverage", "master", "rent_ratios"]
