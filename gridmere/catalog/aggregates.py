@@ -185,6 +185,26 @@ def spearman_matrix(spark, sf):
     return out.select("a", "b", F.round("r", 8).alias("r"))
 
 
+# Sixty columns with ties and with gaps of their own.
+_RANKED = [f"w{i:02d}" for i in range(60)]
+_TIED = "SELECT p_partkey AS id, " + ", ".join(
+    f"CASE WHEN (p_partkey + {i}) % {5 + i % 7} = 0 THEN NULL ELSE (p_size * {i % 5 + 1} + p_partkey * {i + 3}) % {17 + 3 * i} END AS {c}" for i, c in enumerate(_RANKED)
+) + " FROM part"
+
+
+@query(
+    "wide_spearman_matrix",
+    f"""WITH n AS ({_TIED}), u AS (UNPIVOT n ON COLUMNS(* EXCLUDE id) INTO NAME c VALUE v),
+  p AS (SELECT x.c AS a, y.c AS b, x.v AS va, y.v AS vb FROM u x JOIN u y ON x.id = y.id AND x.c < y.c),
+  k AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY va) + (count(*) OVER (PARTITION BY a, b, va) - 1) / 2 AS ra,
+    rank() OVER (PARTITION BY a, b ORDER BY vb) + (count(*) OVER (PARTITION BY a, b, vb) - 1) / 2 AS rb FROM p)
+  SELECT a, b, round(corr(ra, rb), 8) AS r FROM k GROUP BY a, b""",
+)
+def wide_spearman_matrix(spark, sf):
+    out = spearman_pairs(shaped(spark, sf, _TIED), _RANKED, "id")
+    return out.select("a", "b", F.round("r", 8).alias("r"))
+
+
 @query(
     "bounding_box",
     f"SELECT min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east FROM ({GEO_LEFT}) t",
