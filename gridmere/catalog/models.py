@@ -241,7 +241,7 @@ def stacked_model(spark, sf):
     makers = {
         "internal": _linear_on(["quantity", "size"], ["kind"]),
         "external": lambda: Pipeline(stages=[*M.preparation(["retail", "tax", "discount"]), M.forest("price")]),
-        "combined": lambda: Pipeline(stages=[*M.preparation(NUMBERS, ["kind"], scale=False), M.boosting("price")]),
+        "combined": lambda: Pipeline(stages=[*M.preparation(NUMBERS, ["kind"], scale=False), M.boosting("price", rounds=30)]),
     }
     _, scored = M.stack(train, test, "row_id", "price", makers)
     return union_all(
