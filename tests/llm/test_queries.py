@@ -19,6 +19,7 @@ def test_equals_sql(spark, sf, name):
         ("op5_toxicity", "doc_id held_out score predicted"),
         ("op7_sharding", "doc_id size text_crc32 law shard slot grown_shard"),
         ("op8_token_files", "doc_id start n_tokens ids_crc32"),
+        ("op13_suffix_array_dedup", "doc_id n_bytes n_removed n_spans kept_sha256"),
     ],
 )
 def test_one_row_per_document(spark, sf, name, columns):
