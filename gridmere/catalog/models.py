@@ -284,7 +284,7 @@ def feature_set_comparison(spark, sf):
     from gridmere.plans.compare import compare_feature_sets
 
     sets = {"Size": ["quantity", "size"], "Price": ["retail", "tax", "discount"], "All": NUMBERS}
-    performance, _ = compare_feature_sets(parts(spark, sf), sets, "price", "row_id")
+    performance, _ = compare_feature_sets(parts(spark, sf), sets, "price", "row_id", trees=50)
     return performance
 
 
@@ -310,7 +310,7 @@ def growth_model(spark, sf):
         F.avg(F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_totalprice") / 100000)).alias("rent_growth_pct"),
         F.avg(F.when(F.col("o_orderstatus") == "O", 1.0).otherwise(0.2)).alias("sqm_coverage"),
     )
-    scored, _, _ = fit_growth(by, features=["erp_2025", "irsad_score", "school_count"])
+    scored, _, _ = fit_growth(by, features=["erp_2025", "irsad_score", "school_count"], trees=50)
     return scored
 
 
