@@ -246,3 +246,42 @@ def test_bands_recall_at_the_limit():
         assert 0.8 <= near_copies.jaccard(one, two) < 0.83
         met += bool((near_copies.bands(one) == near_copies.bands(two)).any())
     assert met >= 298
+
+
+@pytest.mark.parametrize("size", [50, 55, 80])
+def test_passages_with_one_word_changed(spark, size):
+    base, rows, pairs = words(size, size), [], []
+    for i in range(60):
+        own = base.copy()
+        if i >= 6:
+            own[i * 7 % size] = f"changed{i}"
+        rows.append((i, " ".join(words(60, 10000 + i) + own + words(50, 20000 + i))))
+    for at in range(size):
+        plain, doc = words(size, 30000 + at), 1000 + 2 * at
+        edited = plain.copy()
+        edited[at] = "changed"
+        rows.append((doc, " ".join(words(70, 40000 + at) + plain + words(40, 50000 + at))))
+        rows.append((doc + 1, " ".join(words(50, 60000 + at) + edited + words(90, 70000 + at))))
+        pairs.append((doc + 1, doc))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {(r["doc_id"], r["other_id"]) for r in passages.near_passages(docs).collect()}
+    group, todo = set(), {0}
+    while todo:
+        group |= todo
+        todo = {x for pair in found for x in pair if group & set(pair)} - group
+    assert group == set(range(60))
+    assert sum(p in found for p in pairs) >= 0.95 * size
+
+
+def test_widest_run_equals_brute_force():
+    rng = np.random.default_rng(0)
+    for i in range(600):
+        n = int(rng.integers(1, 30))
+        shared, at, share = rng.random(n) < 0.7, int(rng.integers(0, n)), (0.7, 8 / 9)[i % 2]
+        runs = [
+            (b - a + 1, a, b) for a in range(at + 1) for b in range(at, n)
+            if shared[a : b + 1].mean() >= share - 1e-9
+        ]
+        got = passages.widest(shared, at, share)
+        assert (got is None) == (not runs)
+        assert not runs or (got[1] - got[0] + 1 == max(runs)[0] and (max(runs)[0], *got) in runs)
