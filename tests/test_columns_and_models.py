@@ -203,3 +203,19 @@ def test_pipelines_fill_with_exact_medians_and_modes_and_can_be_saved(spark, tmp
     out = [m.transform(df).orderBy("id").select("a__filled", "none__filled", "k__filled", vector_to_array("features")).collect() for m in (model, saved)]
     assert out[0] == out[1]
     assert out[0][10][:3] == ((25.0 + 36.0) / 2, 0.0, "v") and out[0][11][:3] == (30.5, 0.0, "w")
+
+
+def test_the_forest_on_steps_reads_every_line_item(spark, tmp_path):
+    from gridmere.catalog import QUERIES
+
+    lines = [(i, n, float(i % 50)) for i in range(60) for n in range(1, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(
+        str(tmp_path / "lineitem.parquet")
+    )
+    parts = [(i, i % 50, 900.0 + i) for i in range(70)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_retailprice double").write.parquet(
+        str(tmp_path / "part.parquet")
+    )
+    got = sorted(tuple(r) for r in QUERIES["forest_on_steps"](spark, str(tmp_path)).collect())
+    step = {1: 100.0, 2: 100.0, 3: 250.0, 4: 250.0}
+    assert got == [(float(n), step.get(n, 40.0), step.get(n, 40.0), 60) for n in range(1, 8)]
