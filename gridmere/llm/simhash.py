@@ -258,7 +258,11 @@ def near_duplicates(
     which is null if no member has one. Repeated rows come back as often. Other columns are
     ignored. Equal fingerprints are one entry of the index, so groups of copies cost nothing.
     """
-    own = materialise(fingerprints(docs, shingle, doc_id, text), "prints")
+    return grouped(materialise(fingerprints(docs, shingle, doc_id, text), "prints"), differences)
+
+
+def grouped(own: DataFrame, differences: int = 3) -> DataFrame:
+    """The same for a written table of `fingerprints`."""
     distinct = materialise(own.groupBy("print").agg(F.min("doc_id").alias("first_id")), "distinct")
     groups = connected_groups(near_links(distinct, differences))
     named = distinct.join(groups.withColumnRenamed("node", "print"), "print", "left").withColumn(

@@ -234,6 +234,23 @@ def test_near_copies_match_brute_force(spark, odd_docs, no_docs):
     assert sorted(r["doc_id"] for r in odd.where("doc_id IS NOT NULL").collect()) == [1, 3, 6, 8, 9, 10]
 
 
+def test_near_copies_come_through_the_fingerprints(spark, monkeypatch):
+    base = words(400, 777)
+    rows, first = [(0, " ".join(base))], simhash.fingerprint(" ".join(base), 5)
+    for i in range(500):
+        own = " ".join([*base[:-1], f"end{i}"])
+        if len(rows) < 5 and (simhash.fingerprint(own, 5) ^ first).bit_count() <= 3:
+            rows.append((len(rows), own))
+    chorus = ["all", "five", "words", "come", "again"] * 300
+    rows += [(10 + i, " ".join(chorus + words(10, 800 + i))) for i in range(2)]
+    prints = [simhash.fingerprint(t, 5) for _, t in rows]
+    assert all((p ^ prints[0]).bit_count() <= 3 for p in prints[:5]) and (prints[5] ^ prints[6]).bit_count() <= 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "_likely", lambda met, least: met.select("node", "pivot").where("false"))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {0, 10, 11}  # near fingerprints are checked on the runs of words
+
+
 def test_bands_recall_at_the_limit():
     met = 0
     for i in range(300):
