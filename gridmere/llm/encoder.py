@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +21,8 @@ _PLAIN = re.compile(f"(?:{_LETTERS}|{_MARKS}|\n(?=[^\n]))+")
 _PIECE = re.compile(f"{_LETTERS}|{_MARKS}|\n")
 _RUN = re.compile(r"(?:^|\s) ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: In plain text, looked up much faster than by the expression above.
+_RUNS = [chr(c) + " " for c in range(128) if chr(c).isspace()]
 
 
 def _byte_names() -> dict[int, str]:
@@ -30,6 +34,31 @@ def _byte_names() -> dict[int, str]:
     return names
 
 
+def _has_run(text: str) -> bool:
+    """Whether a space begins the text or follows a blank."""
+    if text.isascii():
+        return text.startswith(" ") or any(run in text for run in _RUNS)
+    return _RUN.search(text) is not None
+
+
+class _Parts(dict):
+    """The ids of parts that follow a space; those beyond `keep` stay until `trim`."""
+
+    def __init__(self, encode: Callable[[str, bool], bytes], keep: int):
+        self.encode, self.keep, self.over = encode, keep, []
+
+    def __missing__(self, part: str) -> bytes:
+        made = self[part] = self.encode(part, True)
+        if len(self) > self.keep:
+            self.over.append(part)
+        return made
+
+    def trim(self) -> None:
+        for part in self.over:
+            del self[part]
+        self.over.clear()
+
+
 class Encoder:
     """
     Ids as `Tokenizer.encode(text, add_special_tokens=False)` gives them, as little-endian
@@ -62,12 +91,12 @@ class Encoder:
         self.width = 2 if self.size <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.keep = keep
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Parts(self._part, keep)
         self.pieces: dict[str, bytes] = {}
         self.names = _byte_names()
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def _whole(self, text: str) -> bytes:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -75,7 +104,10 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            named = piece.encode().decode("latin-1").translate(self.names)
+            if piece.isascii():  # letters and marks name themselves
+                named = piece.replace(" ", self.names[0x20]).replace("\n", self.names[0x0A])
+            else:
+                named = piece.encode().decode("latin-1").translate(self.names)
             found = self._packed([t.id for t in self.tokenizer.model.tokenize(named)])
             if len(self.pieces) < self.keep:
                 self.pieces[piece] = found
@@ -96,20 +128,14 @@ class Encoder:
             return b""
         if not self.by_part or any(s in text for s in self.special):
             return self._whole(text)
-        if _RUN.search(text):
+        if _has_run(text):
             return b"".join(
                 self._part(p[1:], True) if p[0] == " " and p[1:2] not in ("", " ") else self._whole(p)
                 for p in _CUT.split(text)
             )
         first, *rest = text.split(" ")
-        parts = self.parts
-        new = set(rest).difference(parts)
-        for p in new:
-            parts[p] = self._part(p, True)
-        out = self._part(first, False) + b"".join(map(parts.__getitem__, rest))
-        if len(parts) > self.keep:
-            for p in new:
-                del parts[p]
+        out = self._part(first, False) + b"".join(map(self.parts.__getitem__, rest))
+        self.parts.trim()
         return out
 
     def ids(self, text: str) -> np.ndarray:
