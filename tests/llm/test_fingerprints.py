@@ -290,6 +290,29 @@ def test_passages_with_one_word_changed(spark, size):
     assert sum(p in found for p in pairs) >= 0.95 * size
 
 
+def test_all_passages_under_one_key_are_found(spark):
+    def text(seed, core):
+        return " ".join(words(50, seed) + core + words(50, seed + 1))
+
+    def keys(body):
+        return {k for k, _ in passages.window_keys(passages.tokens(body), 46, 3)}
+
+    def within(core):
+        return {k for k, _ in passages.window_keys(passages.tokens(" ".join(core)), 38, 3)}
+
+    core = next(c for c in (words(42, s) for s in range(300000, 301000)) if len(within(c)) == 6)
+    inside, seed, rows = within(core), 200000, []
+    while len(rows) < 24:  # pairs that share a passage of 54 words, but no key beside those of its core
+        passage = words(6, seed) + core + words(6, seed + 1)
+        pair = [text(seed + 2, passage), text(seed + 4, passage)]
+        if (common := keys(pair[0]) & keys(pair[1])) and common <= inside:
+            rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+        seed += 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["other_id"]) for r in passages.near_passages(docs).collect()}
+    assert found == {(i + 1, i) for i in range(0, 24, 2)}
+
+
 def test_widest_run_equals_brute_force():
     rng = np.random.default_rng(0)
     for i in range(600):
