@@ -6,8 +6,9 @@ import json
 import os
 import re
 import struct
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -21,6 +22,8 @@ _PLAIN = re.compile(f"(?:{_LETTERS}|{_MARKS}|\n(?=[^\n]))+")
 _PIECE = re.compile(f"{_LETTERS}|{_MARKS}|\n")
 _RUN = re.compile(r"(?:^|\s) ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Characters of texts whose parts are looked up together.
+_BLOCK = 1 << 19
 #: In plain text, looked up much faster than by the expression above.
 _RUNS = [chr(c) + " " for c in range(128) if chr(c).isspace()]
 
@@ -41,24 +44,6 @@ def _has_run(text: str) -> bool:
     return _RUN.search(text) is not None
 
 
-class _Parts(dict):
-    """The ids of parts that follow a space; those beyond `keep` stay until `trim`."""
-
-    def __init__(self, encode: Callable[[str, bool], bytes], keep: int):
-        self.encode, self.keep, self.over = encode, keep, []
-
-    def __missing__(self, part: str) -> bytes:
-        made = self[part] = self.encode(part, True)
-        if len(self) > self.keep:
-            self.over.append(part)
-        return made
-
-    def trim(self) -> None:
-        for part in self.over:
-            del self[part]
-        self.over.clear()
-
-
 class Encoder:
     """
     Ids as `Tokenizer.encode(text, add_special_tokens=False)` gives them, as little-endian
@@ -67,12 +52,12 @@ class Encoder:
     A byte-level vocabulary splits a text into words with their leading space before it
     merges anything, so a text may be cut in front of every space that follows a
     non-blank. The parts repeat a lot: each is encoded once and kept in a table of at
-    most `keep` parts; later ones are encoded anew each time. Parts of plain letters and marks go
-    straight to the library's merge model; all others go through its whole encoder. Other
-    kinds of vocabulary are encoded text by text.
+    most `keep` parts; later ones are encoded anew each time. The parts that a block of texts has and the
+    table lacks go through the library together, as one text: each gives the ids from one whose
+    name begins with a space up to the next such. Other kinds of vocabulary are encoded text by text.
     """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -91,9 +76,12 @@ class Encoder:
         self.width = 2 if self.size <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.keep = keep
-        self.parts = _Parts(self._part, keep)
+        self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.names = _byte_names()
+        self.spaced = np.zeros(self.size, bool)
+        for name, number in self.tokenizer.get_vocab().items() if self.by_part else ():
+            self.spaced[number] = name.startswith(self.names[0x20])
 
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
@@ -123,20 +111,59 @@ class Encoder:
             return b"".join(map(self._piece, pieces))
         return self._whole(" " + part if spaced else part)
 
+    def _together(self, parts: list[str]) -> Iterable[bytes]:
+        """The ids of parts that follow a space; only the last may end with a blank."""
+        text = " " + " ".join(parts)
+        if not any(s in text for s in self.special):
+            made = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(made[0].ids, self.kind)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(parts) and starts[0] == 0:
+                edges, data = (starts * self.width).tolist(), ids.tobytes()
+                return [data[a:b] for a, b in zip(edges, [*edges[1:], len(data)], strict=True)]
+        return [self._part(p, True) for p in parts]
+
+    def _by_hand(self, text: str) -> bytes:
+        """The same for a text in which a space begins the text or follows a blank."""
+        return b"".join(
+            self._part(p[1:], True) if p[0] == " " and p[1:2] not in ("", " ") else self._whole(p)
+            for p in _CUT.split(text)
+        )
+
+    def _block(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [self.by_part and t != "" and not any(s in t for s in self.special) for t in texts]
+        cut = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
+        found = [[b"", *map(self.parts.get, words[1:])] for words in cut]
+        gaps = [[i for i, ids in enumerate(got) if ids is None] for got in found]
+        fresh = {words[i]: None for words, own in zip(cut, gaps, strict=True) for i in own}
+        ends = {w for w in fresh if not w or w[-1].isspace()}  # of a text, or there is a run of blanks
+        made = [w for w in fresh if w not in ends]
+        new = dict(zip(made, self._together(made), strict=True)) if made else {}
+        for text, words, got, own in zip(texts, cut, found, gaps, strict=True):
+            if not words:
+                yield self._whole(text) if text else b""
+            elif (ends or not words[0] or words[0][-1].isspace()) and _has_run(text):
+                yield self._by_hand(text)
+            else:
+                got[0] = self._part(words[0], False)
+                for i in own:
+                    got[i] = self._part(words[i], True) if words[i] in ends else new[words[i]]
+                yield b"".join(got)
+        self.parts.update(islice(new.items(), max(0, self.keep - len(self.parts))))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        block, size = [], 0
+        for text in texts:
+            block.append(text)
+            size += len(text)
+            if size >= _BLOCK:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
+
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.by_part or any(s in text for s in self.special):
-            return self._whole(text)
-        if _has_run(text):
-            return b"".join(
-                self._part(p[1:], True) if p[0] == " " and p[1:2] not in ("", " ") else self._whole(p)
-                for p in _CUT.split(text)
-            )
-        first, *rest = text.split(" ")
-        out = self._part(first, False) + b"".join(map(self.parts.__getitem__, rest))
-        self.parts.trim()
-        return out
+        return next(self._block([text]))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode(text), self.kind)

@@ -45,7 +45,7 @@ def token_pieces(
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         code = encoder(vocabulary)
         end = np.asarray([end_id], code.kind).tobytes()
-        made = [code.encode(t.as_py()) + end for t in batch.column("text")]
+        made = [ids + end for ids in code.encode_all(t.as_py() for t in batch.column("text"))]
         total = np.array([len(m) // code.width for m in made])
         count = -(-total // capacity)
         first = total - (count - 1) * capacity

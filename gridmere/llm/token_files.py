@@ -60,10 +60,9 @@ def write_token_files(
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}.bin")
             lengths = np.empty(batch.num_rows, "<u8")
-            for i, t in enumerate(batch.column("text")):
-                made = code.encode(t.as_py()) + end
-                lengths[i] = len(made) // code.width
-                out.write(made)
+            for i, made in enumerate(code.encode_all(t.as_py() for t in batch.column("text"))):
+                lengths[i] = (len(made) + len(end)) // code.width
+                out.write(made + end)
             places.append(total + np.cumsum(lengths, dtype="<u8"))
             total = int(places[-1][-1])
             ids.append(batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False))

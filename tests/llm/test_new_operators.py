@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from samples import prose
 
 from gridmere.llm import suffix_arrays
+from gridmere.llm.encoder import Encoder
 from gridmere.llm.negatives import SortedLists, hard_negatives
 from gridmere.llm.prefix_trie import SpillingQueue, prefix_trie
+from gridmere.llm.queries import BYTE_BPE
 from gridmere.llm.suffix_arrays import common_prefixes, repeated_strings, suffix_array
 
 
@@ -239,3 +242,22 @@ def test_hashes_of_blocks():
         own = suffix_arrays.block_hashes(text, length)
         assert len(own) == len(text) - length + 1
         assert own[7] == suffix_arrays.block_hashes(text[7 : 7 + length], length)[0]
+
+
+# --- token ids
+
+
+def test_encoder_sends_unknown_parts_together(monkeypatch):
+    tried = []
+    part = Encoder._part
+    monkeypatch.setattr(Encoder, "_part", lambda self, *a: tried.append(a) or part(self, *a))
+    code = Encoder(BYTE_BPE, keep=300)
+    plain = [" ".join(f"w{chr(97 + i % 26)}x{i * j}é," for i in range(200)) for j in range(1, 6)]
+    made = list(code.encode_all(plain))
+    assert len(tried) <= len(plain)  # the first words alone
+    odd = ["", " ", "  ", " a", "a ", "a  b", "a\n b", "a \nb", "x y\n", "\n", "a b\n\n", "<|endoftext|> a b", "\x1c a", "a  b", "'s 't"]
+    odd += ["".join(c) for c in itertools.product(" \nané.", repeat=4)]
+    assert len(code.parts) == 300
+    for text, ids in zip(plain + odd, made + list(code.encode_all(odd)), strict=True):
+        assert np.frombuffer(ids, code.kind).tolist() == code.tokenizer.encode(text, add_special_tokens=False).ids
+        assert code.encode(text) == ids
