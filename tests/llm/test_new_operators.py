@@ -10,13 +10,18 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from samples import prose
 
 from gridmere.llm import suffix_arrays
+from gridmere.llm.common import per_batch
 from gridmere.llm.encoder import Encoder
+from gridmere.llm.hubs import beside_hubs
 from gridmere.llm.negatives import SortedLists, hard_negatives
+from gridmere.llm.passages import Runs, Sides, verify
 from gridmere.llm.prefix_trie import SpillingQueue, prefix_trie
 from gridmere.llm.queries import BYTE_BPE
 from gridmere.llm.suffix_arrays import common_prefixes, repeated_strings, suffix_array
@@ -261,3 +266,52 @@ def test_encoder_sends_unknown_parts_together(monkeypatch):
     for text, ids in zip(plain + odd, made + list(code.encode_all(odd)), strict=True):
         assert np.frombuffer(ids, code.kind).tolist() == code.tokenizer.encode(text, add_special_tokens=False).ids
         assert code.encode(text) == ids
+
+
+# --- work per task
+
+
+def test_batches_go_in_slices(spark):
+    def work(batch):
+        return pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    sizes = [r.n for r in per_batch(spark.range(0, 1050, 1, 1), work, "n long", 100).collect()]
+    assert sorted(sizes) == [50] + [100] * 10
+
+
+def test_small_pairs_are_dealt_to_all_tasks(spark):
+    pairs = spark.range(64).select((F.col("id") + 100).alias("member"), F.col("id").alias("hub"))
+    bodies = spark.range(200).select(F.col("id").alias("node"), F.concat(F.lit("text "), "id").alias("text"))
+
+    def compare(one, two, pair):
+        yield (TaskContext.get().partitionId(), one, two)
+
+    schema = pa.schema([("task", pa.int64()), ("one", pa.int64()), ("two", pa.int64())])
+    found = beside_hubs(pairs, bodies, lambda text: int(text.split()[1]), compare, schema).collect()
+    assert sorted((r.member, r.hub) for r in found) == [(i + 100, i) for i in range(64)]
+    assert all((r.one, r.two) == (r.member, r.hub) for r in found)
+    assert len({r.task for r in found}) > 1
+
+
+def test_runs_of_all_places_equal_those_of_each():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        shared = rng.random(int(rng.integers(1, 80))) < rng.choice([0.3, 0.8, 0.95])
+        runs = Runs(shared, 8 / 9)
+        sums = np.append(0, np.cumsum(9 * shared.astype("i8") - 8))  # exact
+        for place, wide in enumerate(runs.wide(10)):
+            all_runs = [
+                j - i for i in range(place + 1) for j in range(place + 1, len(sums)) if sums[j] >= sums[i]
+            ]
+            got = runs.around(place)
+            assert (got is None) == (not all_runs) and (not all_runs or got[1] - got[0] + 1 == max(all_runs))
+            assert bool(wide) == (max(all_runs, default=0) >= 10)
+
+
+def test_places_at_one_distance_share_their_work():
+    text = np.arange(400)
+    other = np.where(text % 3, text, text + 1000)
+    sides = Sides(text, other, np.isin(text, other), 46, 0.5, 2000)
+    found = [sides.verify(at, at) for at in range(0, 400, 20)]
+    assert all(f == found[0] for f in found) and found[0] == verify(text, other, np.isin(text, other), 0, 0, 46, 0.5, 2000)
+    assert sides.runs_b.cache_info().misses <= 8 < sides.runs_b.cache_info().hits
