@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmere.llm.common import per_batch, texts
+from gridmere.llm.encoder import encoder
 from gridmere.llm.hubs import beside_hubs
 from gridmere.llm.passages import WORDS, tokens
 from gridmere.llm.simhash import fingerprint, grouped, keep_least
@@ -31,6 +32,8 @@ _BANDS, _HASHES = 20, 5
 _FACTORS = np.random.default_rng(42).integers(1, 1 << 63, _BANDS * _HASHES, dtype="u8") * np.uint64(2) + np.uint64(1)
 _BLOCK = 2048
 _MORE = 8
+#: Texts whose runs are held at once.
+_TEXTS = 512
 
 
 def shingles(text: str) -> np.ndarray:
@@ -110,6 +113,7 @@ def near_copies(
     )
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        encoder.cache_clear()  # the tables that a packing left in this worker take more room than all of this
         sets = [shingles(t.as_py()) for t in batch.column("text")]
         least = [minima(s) for s in sets]
         sums = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
@@ -127,7 +131,7 @@ def near_copies(
     own = materialise(
         per_batch(
             rows, measure,
-            "row long, doc_id long, content binary, bands array<bigint>, marks binary, n long, print long",
+            "row long, doc_id long, content binary, bands array<bigint>, marks binary, n long, print long", _TEXTS,
         ),
         "bands",
     )
