@@ -251,6 +251,57 @@ def test_near_copies_come_through_the_fingerprints(spark, monkeypatch):
     assert kept == {0, 10, 11}  # near fingerprints are checked on the runs of words
 
 
+def test_unlike_texts_under_a_key_are_not_compared(spark, monkeypatch):
+    """A crowd of copies that are alike at 0.6 to 0.9: only pairs about alike at 0.8 are compared by their texts."""
+    rng, base, rows = random.Random(11), words(150, 4242), []
+    for i in range(150):
+        own = base.copy()
+        for at in rng.sample(range(150), rng.randint(1, 4)):
+            own[at] = f"other{rng.random()}"
+        rows.append((i, " ".join(own)))
+    sets = [near_copies.shingles(t) for _, t in rows]
+    close = {(a, b) for a in range(150) for b in range(a) if near_copies.jaccard(sets[a], sets[b]) >= 0.8}
+    most = {(a, b) for a in range(150) for b in range(a) if near_copies.jaccard(sets[a], sets[b]) >= 0.76}
+    for a, b in most:
+        differing = np.bitwise_count((near_copies.odd_sketch(sets[a]) ^ near_copies.odd_sketch(sets[b])).view("u8")).sum()
+        assert differing <= len(np.setxor1d(sets[a], sets[b], assume_unique=True))
+    met, alike = [], near_copies._alike
+
+    def counted(pairs, bodies, least):
+        met.extend((max(r["member"], r["hub"]), min(r["member"], r["hub"])) for r in pairs.collect())
+        return alike(pairs, bodies, least)
+
+    monkeypatch.setattr(near_copies, "_alike", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # rows are numbered from 0
+    want = list(range(150))
+    for _ in rows:
+        for a, b in close:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    assert got == dict(enumerate(want))
+    assert 30 < len(set(want)) < 150 and len(met) == len(set(met)) and len(set(met) - most) <= 5
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    rows = [(i, " ".join(words(30, 6000 + i % 900)), f"s{i}") for i in range(1000)] + [(None, "a b", "x"), (3, "c d", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    kept = near_copies.one_of_each(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert len(ids) == 901 and set(ids) == {None, *range(900)}
+
+
+def test_rows_by_number(spark):
+    numbers = [0, 1, 7, 8, 32767, 32768, 32769, 1 << 33, (1 << 33) + 9, 5 << 33]
+    every = numbers + [n + 3 for n in numbers] + [6 << 33]
+    df = spark.createDataFrame([(n, str(n)) for n in every], "row long, text string")
+    chosen = spark.createDataFrame([(n,) for n in numbers + numbers[:3]], "row long")
+    assert sorted(r["row"] for r in near_copies.marked(df, chosen, "row").collect()) == sorted(numbers)
+    others = near_copies.marked(df, chosen, "row", within=False)
+    assert others.columns == ["row", "text"] and sorted(r["row"] for r in others.collect()) == sorted(set(every) - set(numbers))
+
+
 def test_bands_recall_at_the_limit():
     met = 0
     for i in range(300):
