@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmere.llm.common import per_batch, texts
-from gridmere.operators.clusters import connected_groups
+from gridmere.operators.clusters import connected_groups, merge_labels
 from gridmere.session import materialise
 
 _ALL = (1 << 64) - 1
@@ -90,19 +90,6 @@ def _gray_rank(bits: Column) -> Column:
     return bits
 
 
-def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Joins the sets that the links a-b connect; every label is the least member of its set."""
-    while True:
-        la, lb = labels[a], labels[b]
-        apart = la != lb
-        if not apart.any():
-            return labels
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
-        while (labels[labels] != labels).any():
-            labels = labels[labels]
-
-
 class GrayIndex:
     """
     Index of runs of fingerprints, each run sorted by Gray rank and with a root of its own.

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmere import fixed
 from gridmere.functions import sphere as S
 from gridmere.operators.tables import keep_first, not_null
-from gridmere.session import cut_lineage
+from gridmere.session import materialise
 
 _DEGREE_KM = math.radians(1) * fixed.EARTH_RADIUS_KM
+#: Edges that a task ties at once.
+_EDGES = 250_000
 
 
 def _level(size_km: float, at_most: bool) -> int:
@@ -49,23 +54,65 @@ def pairs_within(
     )
 
 
+def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Joins the sets that the links a-b connect; every label is the least member of its set."""
+    while True:
+        la, lb = labels[a], labels[b]
+        apart = la != lb
+        if not apart.any():
+            return labels
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """The edges (u, v) of each portion of `_EDGES` as stars: its nodes with the least that they reach within it."""
+
+    def star(own: pa.Table) -> pa.RecordBatch:
+        ends = [own.column(c).to_numpy() for c in ("u", "v")]
+        nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+        labels = merge_labels(np.arange(len(nodes)), *np.split(at, 2))
+        tied = np.flatnonzero(labels != np.arange(len(nodes)))
+        kinds = own.schema.types
+        made = [pa.array(x, kind) for x, kind in zip((nodes[tied], nodes[labels[tied]]), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(made, ["u", "v"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = [], 0
+        for batch in batches:
+            own.append(batch)
+            size += batch.num_rows
+            if size >= _EDGES:
+                yield star(pa.Table.from_batches(own))
+                own, size = [], 0
+        if size:
+            yield star(pa.Table.from_batches(own))
+
+    return edges.mapInArrow(work, ", ".join(f"{c} {kind}" for c, kind in edges.dtypes))
+
+
 def connected_groups(edges: DataFrame) -> DataFrame:
     """
     (node, group) for every node of an edge list (a, b); the group is its least node.
 
-    Alternates two steps until nothing changes: each node's larger neighbours are tied
+    Each task first ties the edges it reads, in portions of a bounded size, which settles a table that is one
+    portion. Larger ones alternate two steps until nothing changes: each node's larger neighbours are tied
     to its least neighbour, then its smaller ones are. Both take a minimum per node and
     join it back, so a node with very many neighbours is never gathered in one place,
     and long chains shrink by a constant factor per round.
     """
     a, b = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    e = cut_lineage(edges.where(F.col("a") != F.col("b")).select(a, b).distinct())
+    e = materialise(edges.where(F.col("a") != F.col("b")).select(a, b).distinct(), "links")
 
     def fingerprint(df: DataFrame):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    seen = fingerprint(e)
-    while True:
+    tasks = -(-e.count() // _EDGES)
+    e = materialise(_stars(e.coalesce(max(1, tasks))), "links")
+    seen = fingerprint(e) if tasks > 1 else None
+    while tasks > 1:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (
@@ -82,7 +129,7 @@ def connected_groups(edges: DataFrame) -> DataFrame:
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        e = cut_lineage(small)
+        e = materialise(small, "links")
         now = fingerprint(e)
         if now == seen:
             break

@@ -1,11 +1,15 @@
 import math
 import random
+import tempfile
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridmere.operators import clusters, nearest, polygons
+from gridmere.session import materialise
 
 R = 6371.0088
 
@@ -166,6 +170,34 @@ def test_clusters_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("portion", [20, 250_000])
+def test_connected_groups_of_portions(spark, portion, monkeypatch):
+    monkeypatch.setattr(clusters, "_EDGES", portion)
+    rng = random.Random(3)
+    rows = [(f"n{a}", f"n{b}") for a, b in ((rng.randrange(150), rng.randrange(150)) for _ in range(90))]
+    least = {x: x for row in rows if row[0] != row[1] for x in row}
+    for _ in least:
+        for a, b in rows:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    edges = spark.createDataFrame([*rows, (None, "n1")], "a string, b string")
+    assert {r["node"]: r["group"] for r in clusters.connected_groups(edges).collect()} == least
+
+
+def test_stage_tables_leave_no_shuffle_files(spark):
+    def files():
+        return set(Path(spark.conf.get("spark.local.dir", tempfile.gettempdir())).glob("blockmgr-*/*/shuffle_*"))
+
+    before = files()
+    table = materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert table.count() == 7
+
+
 def test_connected_groups_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(64)] + [(100, 101)], "a long, b long")
     out = {r["node"]: r["group"] for r in clusters.connected_groups(edges).collect()}
