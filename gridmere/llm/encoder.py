@@ -11,6 +11,8 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The printable bytes that byte-level vocabularies write as themselves. The
 #: other bytes are written, in order, as the characters from U+0100 on.
@@ -23,7 +25,7 @@ _PIECE = re.compile(f"{_LETTERS}|{_MARKS}|\n")
 _RUN = re.compile(r"(?:^|\s) ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Characters of texts whose parts are looked up together.
-_BLOCK = 1 << 19
+_BLOCK = 1 << 21
 #: In plain text, looked up much faster than by the expression above.
 _RUNS = [chr(c) + " " for c in range(128) if chr(c).isspace()]
 
@@ -130,26 +132,36 @@ class Encoder:
             for p in _CUT.split(text)
         )
 
-    def _block(self, texts: list[str]) -> Iterator[bytes]:
-        plain = [self.by_part and t != "" and not any(s in t for s in self.special) for t in texts]
-        cut = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
-        found = [[b"", *map(self.parts.get, words[1:])] for words in cut]
-        gaps = [[i for i, ids in enumerate(got) if ids is None] for got in found]
-        fresh = {words[i]: None for words, own in zip(cut, gaps, strict=True) for i in own}
-        ends = {w for w in fresh if not w or w[-1].isspace()}  # of a text, or there is a run of blanks
-        made = [w for w in fresh if w not in ends]
+    def _by_parts(self, texts: list[str]) -> Iterator[bytes]:
+        """The same for texts that may be cut, each distinct part of them looked up once."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        edges = split.offsets.to_numpy()
+        named = split.flatten().dictionary_encode()
+        parts, at = named.dictionary.to_pylist(), named.indices.to_numpy().copy()
+        found = list(map(self.parts.get, parts))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        blank = np.zeros(len(parts), bool)  # ends with a blank: the end of a text, or there is a run of blanks
+        blank[[i for i in gaps if not parts[i] or parts[i][-1].isspace()]] = True
+        made = [parts[i] for i in gaps if not blank[i]]
         new = dict(zip(made, self._together(made), strict=True)) if made else {}
-        for text, words, got, own in zip(texts, cut, found, gaps, strict=True):
-            if not words:
-                yield self._whole(text) if text else b""
-            elif (ends or not words[0] or words[0][-1].isspace()) and _has_run(text):
-                yield self._by_hand(text)
-            else:
-                got[0] = self._part(words[0], False)
-                for i in own:
-                    got[i] = self._part(words[i], True) if words[i] in ends else new[words[i]]
-                yield b"".join(got)
+        for i in gaps:
+            found[i] = self._part(parts[i], True) if blank[i] else new[parts[i]]
         self.parts.update(islice(new.items(), max(0, self.keep - len(self.parts))))
+        first = edges[:-1]
+        odd = np.logical_or.reduceat(blank[at], first)
+        found += [self._part(parts[i], False) for i in at[first].tolist()]
+        at[first] = len(parts) + np.arange(len(texts))
+        ids = pa.array(found, pa.large_binary()).take(pa.array(at))
+        data, stops = memoryview(ids.buffers()[2] or b""), np.frombuffer(ids.buffers()[1], "i8")[edges].tolist()
+        for text, may, low, high in zip(texts, odd.tolist(), stops, stops[1:], strict=False):
+            yield self._by_hand(text) if may and _has_run(text) else bytes(data[low:high])
+
+    def _block(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [self.by_part and t != "" and not any(s in t for s in self.special) for t in texts]
+        cut = [t for t, p in zip(texts, plain, strict=True) if p]
+        made = self._by_parts(cut) if cut else iter(())
+        for text, p in zip(texts, plain, strict=True):
+            yield next(made) if p else self._whole(text) if text else b""
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text."""

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -241,6 +242,24 @@ def test_repeats_in_a_text_longer_than_a_shard(spark):
     assert got == {1: (len(text), 2 * 300 + 2 * 250, 4), 2: (252, 250, 1), 3: (150, 0, 0)}
 
 
+def test_surroundings_are_copied_by_row():
+    rng = np.random.default_rng(5)
+    text, anchor, window = rng.integers(97, 123, 60_000).astype("u1"), 64, 200
+    edges = np.array([0, 70, 300, 301, 20_000, 60_000])
+    at = np.unique(np.concatenate([rng.integers(0, 60_000 - anchor, 4000), [0, 6, 60_000 - anchor]]))
+    of = np.searchsorted(edges, at, "right") - 1
+    tracemalloc.start()
+    rows = suffix_arrays.surroundings(text, at, edges[of], edges[of + 1], anchor, window)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * rows.nbytes
+    for x, low, high, row in zip(at.tolist(), edges[of].tolist(), edges[of + 1].tolist(), rows, strict=True):
+        want = [text[y] if low <= y < high else 0xFF for y in range(x - window + anchor, x + window)]
+        assert row.tolist() == want
+    nothing = np.zeros(0, "i8")
+    assert suffix_arrays.surroundings(text[:0], nothing, nothing, nothing, anchor, window).shape == (0, 336)
+
+
 def test_hashes_of_blocks():
     text = np.frombuffer(prose(60, 1).encode(), "u1")
     for length in (8, 64, 136, 184, 200):
@@ -268,6 +287,23 @@ def test_encoder_sends_unknown_parts_together(monkeypatch):
         assert code.encode(text) == ids
 
 
+def test_encoder_looks_each_part_up_once():
+    class Parts(dict):
+        asked = 0
+
+        def get(self, *key):
+            Parts.asked += 1
+            return super().get(*key)
+
+    code = Encoder(BYTE_BPE)
+    code.parts = Parts()
+    texts = ["one two three " * 40 + "four", "two three", "", "one  two"]
+    made = list(code.encode_all(texts))
+    assert Parts.asked <= 5
+    for text, ids in zip(texts, made, strict=True):
+        assert np.frombuffer(ids, code.kind).tolist() == code.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # --- work per task
 
 
