@@ -170,9 +170,13 @@ def find_anchors(text: np.ndarray, valid: np.ndarray, anchor: int, window: int)
 def surroundings(text: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: int, window: int) -> np.ndarray:
     """The bytes of all windows around each anchor, one row each; what is outside low to high is a gap."""
     reach = window - anchor
-    places = at[:, None] + np.arange(-reach, window)
-    inside = (places >= low[:, None]) & (places < high[:, None])
-    return np.where(inside, text[np.where(inside, places, 0)], np.uint8(_GAP)).reshape(len(at), reach + window)
+    width = reach + window
+    wide = np.pad(text, (reach, window), constant_values=_GAP)
+    rows = np.lib.stride_tricks.sliding_window_view(wide, width)[at]  # a row is copied as a whole
+    over = np.flatnonzero((at - reach < low) | (at + window > high))
+    places = at[over, None] + np.arange(-reach, window)
+    rows[over] = np.where((places >= low[over, None]) & (places < high[over, None]), rows[over], np.uint8(_GAP))
+    return rows.reshape(len(at), width)
 
 
 def _spans(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +257,9 @@ def _packed(docs: DataFrame, window: int) -> DataFrame:
         of = np.searchsorted(edges, pos, "right") - 1
         around = surroundings(np.frombuffer(whole, "u1"), pos, edges[of], edges[of + 1], _ANCHOR, window)
         keys = np.stack([made["h"][first], _row_hashes(around).view("i8")], axis=1)
-        _, first, count = np.unique(keys, axis=0, return_index=True, return_counts=True)
+        order = np.lexsort((keys[:, 1], keys[:, 0]))  # keeps the first of equal ones first
+        new = np.flatnonzero(np.append(True, (np.diff(keys[order], axis=0) != 0).any(axis=1))[: len(order)])
+        first, count = order[new], np.diff(np.append(new, len(order)))
         made = {
             "begin": made["begin"], "end": made["end"], "h": keys[first, 0], "g": keys[first, 1], "pos": pos[first], "n": count,
         }
