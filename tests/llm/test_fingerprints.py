@@ -376,3 +376,33 @@ def test_widest_run_equals_brute_force():
         got = passages.widest(shared, at, share)
         assert (got is None) == (not runs)
         assert not runs or (got[1] - got[0] + 1 == max(runs)[0] and (max(runs)[0], *got) in runs)
+
+
+def test_a_passage_alike_to_one_that_is_tied_already_is_found(spark):
+    def keys(body):
+        return {k for k, _ in passages.window_keys(passages.tokens(body), 46, 3)}
+
+    for seed in range(7000, 70000, 1000):
+        base = words(50, seed)
+        often, other = [*base[:2], "changed", *base[3:]], [*base[:47], "altered", *base[48:]]
+        crowd = [" ".join(words(30, seed + 10 + i) + often + words(30, seed + 30 + i)) for i in range(6)]
+        pair = [" ".join(words(20, seed + 50 + i) + own) for i, own in enumerate((base, other))]
+        both = keys(pair[0]) & keys(pair[1])
+        if both and all(both <= keys(body) for body in crowd):
+            break
+    docs = spark.createDataFrame([*enumerate(pair, 1), *enumerate(crowd, 100)], "doc_id long, text string")
+    found = {(r["doc_id"], r["other_id"]) for r in passages.near_passages(docs).collect()}
+    assert any(p[1] == 1 and p[0] >= 100 for p in found)  # the plain form is tied to the frequent one
+    assert (2, 1) in found  # that is not alike to the other form, so this has to meet the plain one
+    assert all(p[1] != 2 for p in found)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_kinds_that_every_run_lacks(seed):
+    rng = np.random.default_rng(seed)
+    own = rng.integers(0, 12, 200)
+    shared, width = own > 4 + seed, 9
+    runs = [len(set(own[i : i + width][~shared[i : i + width]].tolist())) for i in range(len(own) - width + 1)]
+    want = [min(runs[max(0, p - width + 1) : p + 1]) for p in range(len(own))]
+    assert passages.lacking(own, shared, width).tolist() == want
+    assert passages.lacking(own[:5], shared[:5], width).min() >= 5
