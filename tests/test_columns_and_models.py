@@ -219,3 +219,25 @@ def test_the_forest_on_steps_reads_every_line_item(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["forest_on_steps"](spark, str(tmp_path)).collect())
     step = {1: 100.0, 2: 100.0, 3: 250.0, 4: 250.0}
     assert got == [(float(n), step.get(n, 40.0), step.get(n, 40.0), 60) for n in range(1, 8)]
+
+
+@pytest.mark.parametrize("ids", ["unique", "repeated"])
+def test_rank_correlation_by_looked_up_ranks_equals_the_joined_one(spark, ids, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        row = [None if rng.random() < 0.15 else float(rng.integers(0, 3 + 4 * j)) for j in range(5)]
+        row[2] = float("nan") if i % 50 == 7 else row[2]
+        key = i if ids == "unique" else None if i % 90 == 3 else i // 2
+        rows.append((key, *row, 1.0))
+    names = [f"c{j}" for j in range(6)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in names)).repartition(3)
+    looked_up = R._few_values(df, names, "id")
+    assert looked_up is not None
+    few = {(r["a"], r["b"]): r["r"] for r in R.spearman_pairs(df, names, "id").collect()}
+    monkeypatch.setattr(R, "_RANKS", 12)
+    assert R._few_values(df, names, "id") is None
+    joined = {(r["a"], r["b"]): r["r"] for r in R.spearman_pairs(df, names, "id").collect()}
+    assert few.keys() == joined.keys() and len(few) == 15
+    for pair, r in joined.items():
+        assert few[pair] is None if r is None else few[pair] == pytest.approx(r, abs=1e-9), pair
