@@ -180,6 +180,14 @@ def test_extra_trees_split_where_they_must(spark):
     assert all(len(t[0]) <= 7 for t in small.trees)
 
 
+def test_extra_trees_count_rows_exactly(spark):
+    """Groups of as many rows as a leaf needs: each becomes a leaf, however the rows are dealt."""
+    rows = [(float(x), (x * 29) % 67 + 0.1 * x) for x in range(64) for _ in range(7)]
+    df = spark.createDataFrame(rows, "x double, y double").repartition(11)
+    model = M.randomised_forest("y", trees=30, leaf=7, depth=40).fit(VectorAssembler(inputCols=["x"], outputCol="features").transform(df))
+    assert {len(t[0]) for t in model.trees} == {127}
+
+
 def test_extra_trees_draw_thresholds_evenly(spark):
     """One feature from 0 to 1, with an outlier that only widens the limits below the first cut."""
     rng = np.random.default_rng(1)
